@@ -1 +1 @@
-
+"""DataFrame transforms over decision logs."""

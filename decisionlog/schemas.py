@@ -106,9 +106,10 @@ QUESTIONS = (
     f" candidates ARRAY<STRUCT<sample_idx INT, tool_call {TOOL_CALL}, ig_bits DOUBLE, per_reply ARRAY<ARRAY<DOUBLE>>>>"
 )
 ROLLOUTS = (
-    "scenario_id STRING, mode STRING, condition STRING, difficulty STRING, seed INT, success INT,"
-    " completion_time_sec DOUBLE, total_inputs INT, interactions INT, dropped_inputs INT, direction_reversals INT,"
-    " motion_tool_calls INT, target_filtered_out INT, terminated_at_max_ticks INT"
+    "scenario_id STRING, subject STRING, difficulty STRING, trial_mode STRING, mode STRING, condition STRING, seed INT,"
+    " success INT, completion_time_sec DOUBLE, total_inputs INT, interactions INT, motion_tool_calls INT,"
+    " mode_switches INT, direction_reversals INT, dropped_inputs INT, selection_perturbations INT,"
+    " direction_perturbations INT, target_filtered_out INT, terminated_at_max_ticks INT, end_reason STRING"
 )
 CONDITION_SUMMARY = (
     "mode STRING, condition STRING, difficulty STRING, n_rollouts BIGINT, success_rate DOUBLE,"

@@ -1 +1 @@
-
+"""Readers and writers for logs, contracts, trials, cells and reports."""
