@@ -19,6 +19,19 @@ POUR_AMOUNTS = ("SMALL", "HALF", "FULL")
 MAX_CHOICES = 5
 HISTORY_LENGTH = 6
 DIALOG_WINDOW = 12
+# The label vocabulary.
+OBJECT_LABELS = (
+    "bleach_cleanser",
+    "gelatin_box",
+    "master_chef_can",
+    "mug",
+    "mustard_bottle",
+    "potted_meat_can",
+    "pudding_box",
+    "sugar_box",
+    "tomato_soup_can",
+    "tuna_fish_can",
+)
 # Fixed value: the instruction every contract row carries by default.
 DEFAULT_INSTRUCTION = (
     "Given the robot observation and dialog context, infer the user's intent and "
