@@ -145,7 +145,7 @@ PERTURBATIONS: Mapping[str, Callable[..., DataFrame]] = {
 def corrupt_commands(df: DataFrame, profile: NoiseProfile, seed: int = 0, *, id_col: str = "event_id") -> DataFrame:
     """A recorded command and reply log under a noise profile (G11); works on streams as well.
 
-    Velocity commands (``mode, axis, direction``) get a confusable axis or the opposite direction, half each;
+    Velocity commands (``command_mode, axis, direction``) get a confusable axis or the opposite direction, half each;
     axes without confusable ones always flip. Replies (``reply_idx, n_choices``, null elsewhere) move to another choice. Lost
     rows stay, flagged ``dropped``; ``latency_sec`` is 0.1 to 0.5 s when the profile delays commands. Gripper commands
     keep axis and direction.
@@ -154,7 +154,7 @@ def corrupt_commands(df: DataFrame, profile: NoiseProfile, seed: int = 0, *, id_
     confused = {"x": ("y",), "y": ("x",), "z": ("y", "x")}
     table = F.create_map(*[x for a, others in confused.items() for x in (F.lit(a), literal_array(others))])
     row = F.col(id_col).cast("string")
-    bent = (F.coalesce(F.col("mode"), F.lit("")) != "gripper") & F.col("direction").isNotNull() & _hit(draw(row, "bend", seed), profile.p_dir)
+    bent = (F.coalesce(F.col("command_mode"), F.lit("")) != "gripper") & F.col("direction").isNotNull() & _hit(draw(row, "bend", seed), profile.p_dir)
     how = draw(row, "bend-how", seed)
     others = F.try_element_at(table, F.col("axis"))
     swap = bent & (uniform(how) < 0.5) & others.isNotNull()
