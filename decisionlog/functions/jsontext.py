@@ -9,12 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from decisionlog.functions.bind import let
+
 
 def strict_json(text: Column) -> Column:
     """The VARIANT the text holds, or null unless the text is exactly one JSON value."""
     wrapped = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit(',"z":1}')))
-    alone = F.map_keys(members(wrapped)) == F.array(F.lit("v"), F.lit("z"))
-    return F.when(alone, F.try_variant_get(wrapped, "$.v", "variant"))
+    both = F.array(F.lit("v"), F.lit("z"))
+    return let(wrapped, lambda w: F.when(F.map_keys(members(w)) == both, F.try_variant_get(w, "$.v", "variant")))
 
 
 def members(value: Column) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from decisionlog.functions.bind import let
 from decisionlog.functions.text import ratio
 from decisionlog.operators.perturb import NOISE_LEVELS, at_levels
 from decisionlog.operators.toolcalls import call_violations, read_call, same_call
@@ -44,7 +45,7 @@ def join_predictions(contract: DataFrame, predictions: DataFrame, key: str = "id
 def score(
     df: DataFrame, *, truth: str = "output", raw: str = "raw", normalise: str = "offline", ignore_text: bool = True
 ) -> DataFrame:
-    """Read both calls and add ``gt_tool``, ``pred_tool``, ``error_type``, the calls ``gt`` / ``pred`` and the counters.
+    """Read both calls and add ``gt_tool``, ``pred_tool``, ``pred_labels``, ``error_type``, the calls ``gt`` / ``pred`` and the counters.
 
     Text that is not strict JSON is searched for its first balanced object. Rows whose ground truth is no JSON object
     count in ``n`` and nowhere else.
@@ -55,47 +56,50 @@ def score(
 
 
 def _score_calls(rows: DataFrame, columns: Sequence[str], ignore_text: bool) -> DataFrame:
-    gt, pred = F.col("gt"), F.col("pred")
-    rows = rows.withColumn("_ok", gt["is_object"] & pred["is_object"]).withColumn(
-        "_valid", F.col("_ok") & (F.size(call_violations(pred)) == 0)
-    )
-    ok = F.col("_ok")
+    both = F.struct("gt", "pred", "_missing", (F.size(call_violations(F.col("pred"))) == 0).alias("valid"))
+    rows = rows.withColumn("_s", let(both, lambda x: _flags(x["gt"], x["pred"], x["_missing"], x["valid"], ignore_text)))
+    return rows.select(*columns, "_s.gt_tool", "_s.pred_tool", "_s.pred_labels", "_s.error_type", "gt", "pred", *[f"_s.{c}" for c in COUNTERS])
+
+
+def _flags(gt: Column, pred: Column, missing: Column, valid: Column, ignore_text: bool) -> Column:
+    """Everything counted about one pair of calls. Unreadable ones count in no accuracy, not even in its denominator."""
+    ok = gt["is_object"] & pred["is_object"]
     same_tool = ok & (gt["tool"] == pred["tool"])
-    motion = gt["is_object"] & gt["tool"].isin(*MOTION_TOOLS)
-    # unreadable predictions leave the job before motions and questions are counted
-    moved, both = ok & motion, ok & motion & pred["tool"].isin(*MOTION_TOOLS)
+    moved = ok & gt["tool"].isin(*MOTION_TOOLS)
+    both = moved & pred["tool"].isin(*MOTION_TOOLS)
     asked = ok & (gt["tool"] == "INTERACT")
-    none = F.lit("None")
+    text = lambda c, absent: F.coalesce(c, F.lit(absent))
     no_list = pred["choices"].isNull() & F.coalesce(F.array_contains(pred["arg_keys"], "choices"), F.lit(False))
     n_choices = F.coalesce(F.size(pred["choices"]), F.lit(0))
     flags: dict[str, Column] = {
         "n": F.lit(True),
-        "missing": F.col("_missing"),
+        "missing": missing,
         "gt_invalid": ~gt["is_object"],
         "json_valid": ok,
         "json_errors": gt["is_object"] & ~pred["is_object"],
-        "schema_valid": F.col("_valid"),
-        "schema_errors": ok & ~F.col("_valid"),
+        "schema_valid": ok & valid,
+        "schema_errors": ok & ~valid,
         "tool_correct": same_tool,
         "tool_wrong": ok & ~same_tool,
         "motion_n": moved,
         "motion_both_n": both,
-        "motion_obj_correct": both & (F.coalesce(gt["obj"], F.lit("null")) == F.coalesce(pred["obj"], F.lit("null"))),
+        "motion_obj_correct": both & (text(gt["obj"], "null") == text(pred["obj"], "null")),
         "motion_tool_correct": both & same_tool,
         "interact_n": asked,
-        "interact_kind_correct": asked & (F.coalesce(gt["kind"], none) == F.coalesce(pred["kind"], none)),
+        "interact_kind_correct": asked & (text(gt["kind"], "None") == text(pred["kind"], "None")),
         "interact_choices_valid": asked & ~no_list & (n_choices <= MAX_CHOICES),
         "interact_choices_count_correct": asked & (F.coalesce(F.size(gt["choices"]), F.lit(0)) == n_choices),
         "strict_exact": ok & same_call(gt, pred, ignore_text=ignore_text),
     }
-    error = F.when(F.col("_missing"), "missing").when(flags["json_errors"], "json_parse").when(flags["tool_wrong"], "tool_mismatch")
-    return rows.select(
-        *columns,
+    labels = F.array(
+        F.when(flags["json_errors"], F.lit("INVALID_JSON")), F.when(flags["schema_errors"], F.lit("INVALID_SCHEMA")), F.when(ok, pred["tool"])
+    )
+    error = F.when(missing, "missing").when(flags["json_errors"], "json_parse").when(flags["tool_wrong"], "tool_mismatch")
+    return F.struct(
         F.when(gt["is_object"], gt["tool"]).alias("gt_tool"),
         F.when(ok, pred["tool"]).alias("pred_tool"),
+        F.filter(labels, lambda x: x.isNotNull()).alias("pred_labels"),
         error.alias("error_type"),
-        "gt",
-        "pred",
         *[F.coalesce(test, F.lit(False)).cast("bigint").alias(name) for name, test in flags.items()],
     )
 
@@ -142,19 +146,11 @@ def tool_confusion(scored: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
     A schema-invalid prediction counts twice: as its tool and as ``INVALID_SCHEMA``. An unreadable one is ``INVALID_JSON``.
     """
-    labels = F.filter(
-        F.array(
-            F.when(F.col("json_errors") == 1, F.lit("INVALID_JSON")),
-            F.when(F.col("schema_errors") == 1, F.lit("INVALID_SCHEMA")),
-            F.col("pred_tool"),
-        ),
-        lambda label: label.isNotNull(),
-    )
-    rows = scored.filter(F.col("gt_tool").isNotNull())
     # count the few distinct label sets first, then unfold them
-    counted = rows.groupBy(*keys, "gt_tool", labels.alias("_labels")).agg(F.count("*").alias("_n"))
+    counted = scored.groupBy(*keys, "gt_tool", "pred_labels").agg(F.count("*").alias("_n"))
     return (
-        counted.select(*keys, "gt_tool", F.explode("_labels").alias("pred_tool"), "_n")
+        counted.select(*keys, "gt_tool", F.explode_outer("pred_labels").alias("pred_tool"), "_n")
+        .filter(F.col("pred_tool").isNotNull())
         .groupBy(*keys, "gt_tool", "pred_tool")
         .agg(F.sum("_n").alias("n"))
     )

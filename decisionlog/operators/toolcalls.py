@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from decisionlog.functions.bind import let
 from decisionlog.functions.geometry import literal_array
 from decisionlog.functions.jsontext import as_text, is_text, items, member, members, strict_json
 from decisionlog.functions.text import is_digits, strip
@@ -24,81 +25,87 @@ def read_call(df: DataFrame, text: str, name: str, *, normalise: str | None = "o
     keeps only ``obj`` for the two motion tools. ``"eval"`` is the variant that rebuilds INTERACT only when the logged
     tool is already spelled ``INTERACT``, and keeps at most ten choices. ``None`` describes the call as it is.
     """
+    return df.withColumn(name, describe_call(F.col(text), normalise=normalise))
+
+
+def _text_of(value: Column) -> Column:
+    """The text of a JSON string; null for any other value."""
+    return F.when(is_text(value), F.try_variant_get(value, "$", "string"))
+
+
+def describe_call(text: Column, *, normalise: str | None = "offline") -> Column:
+    """The struct :func:`read_call` adds. The text is parsed once and every step bound to a name."""
     if normalise not in ("offline", "eval", None):
         raise ValueError(f"unknown normaliser {normalise!r}")
-    rows = df.withColumn("_value", strict_json(F.col(text)))
-    rows = rows.withColumn("_top", members(F.col("_value")))
-    rows = rows.withColumn("_args", members(member(F.col("_top"), "args")))
-    logged = F.when(is_text(member(F.col("_top"), "tool")), F.try_variant_get(member(F.col("_top"), "tool"), "$", "string"))
-    rows = rows.withColumn("_logged", logged)
-    tool = F.upper(strip(F.col("_logged"))) if normalise else F.col("_logged")
-    rows = rows.withColumn("_tool", tool)
-    has_args = F.col("_args").isNotNull()
-    interact = (F.col("_logged" if normalise == "eval" else "_tool") == "INTERACT") & has_args
-    motion = F.col("_tool").isin(*MOTION_TOOLS) & has_args
-    asked = F.coalesce(interact if normalise else F.lit(False), F.lit(False))
-    moved = F.coalesce(motion if normalise else F.lit(False), F.lit(False))
-    kind_value = F.when(
-        asked & ~F.map_contains_key("_args", F.lit("kind")), member(F.col("_args"), "type")
-    ).otherwise(member(F.col("_args"), "kind"))
-    rows = rows.select(
-        *df.columns,
-        "_value",
-        "_top",
-        "_args",
-        "_tool",
-        asked.alias("_asked"),
-        moved.alias("_moved"),
-        F.when(is_text(kind_value), F.try_variant_get(kind_value, "$", "string")).alias("_kind"),
-        member(F.col("_args"), "text").alias("_text"),
-        items(member(F.col("_args"), "choices")).alias("_choices"),
-        member(F.col("_args"), "obj").alias("_obj"),
-        member(F.col("_args"), "amount").alias("_amount"),
-    )
-    named = F.upper(strip(F.col("_kind")))
-    kind = F.when(
-        F.col("_asked"), F.when(named.isin(*INTERACT_KINDS), named).otherwise(F.lit("QUESTION"))
-    ).otherwise(F.col("_kind"))
-    nothing = F.col("_text").isNull() | (F.schema_of_variant("_text") == "VOID")
-    wording = F.when(F.col("_asked") & nothing, F.lit("")).when(
-        F.col("_asked") | is_text(F.col("_text")), as_text(F.col("_text"))
-    )
-    listed = F.transform("_choices", as_text)
-    if normalise == "eval":
-        listed = F.when(F.col("_asked"), F.slice(listed, 1, 10)).otherwise(listed)
-    choices = F.when(F.col("_asked"), F.coalesce(listed, F.array().cast("array<string>"))).otherwise(listed)
-    rows = rows.withColumns({"_k": kind, "_w": wording, "_c": choices, "_o": F.to_json("_obj")})
-    rest = F.to_json(F.map_filter("_top", lambda k, v: k != "tool"))
-    body = (
-        F.when(F.col("_asked"), F.to_json(F.struct(F.col("_c").alias("choices"), F.col("_k").alias("kind"), F.col("_w").alias("text"))))
-        .when(F.col("_moved"), F.coalesce("_o", F.lit("null")))
-        .otherwise(rest)
-    )
-    short = F.when(F.col("_asked"), F.to_json(F.struct(F.col("_c").alias("choices"), F.col("_k").alias("kind"))))
-    own_keys = F.map_keys("_top")
-    arg_keys = (
-        F.when(F.col("_asked"), literal_array(("choices", "kind", "text")))
-        .when(F.col("_moved"), literal_array(("obj",)))
-        .otherwise(F.array_sort(F.map_keys("_args")))
-    )
-    call = F.struct(
-        F.col("_value").isNotNull().alias("valid_json"),
-        F.col("_top").isNotNull().alias("is_object"),
-        F.coalesce("_tool", F.lit("None")).alias("tool"),
-        F.when(F.col("_asked") | F.col("_moved"), literal_array(("args", "tool"))).otherwise(F.array_sort(own_keys)).alias("top_keys"),
-        arg_keys.alias("arg_keys"),
-        F.col("_k").alias("kind"),
-        F.col("_w").alias("text"),
-        (F.col("_asked") | is_text(F.col("_text"))).alias("text_ok"),
-        F.col("_c").alias("choices"),
-        (F.col("_asked") | F.coalesce(F.forall("_choices", is_text), F.lit(False))).alias("choices_ok"),
-        F.col("_o").alias("obj"),
-        is_text(F.col("_obj")).alias("obj_ok"),
-        F.when(is_text(F.col("_amount")), F.try_variant_get("_amount", "$", "string")).alias("amount"),
-        body.alias("body"),
-        F.coalesce(short, body).alias("body_without_text"),
-    )
-    return rows.select(*df.columns, call.alias(name))
+
+    def heads(value: Column) -> Column:
+        return F.struct(value.alias("value"), members(value).alias("top"))
+
+    def tools(x: Column) -> Column:
+        logged = _text_of(member(x["top"], "tool"))
+        return F.struct(
+            x["value"].isNotNull().alias("valid_json"),
+            x["top"].alias("top"),
+            members(member(x["top"], "args")).alias("args"),
+            logged.alias("logged"),
+            (F.upper(strip(logged)) if normalise else logged).alias("tool"),
+        )
+
+    def shapes(x: Column) -> Column:
+        asks = (x["logged" if normalise == "eval" else "tool"] == "INTERACT") & x["args"].isNotNull()
+        moves = x["tool"].isin(*MOTION_TOOLS) & x["args"].isNotNull()
+        no = F.lit(False)
+        return F.struct(
+            x.alias("x"),
+            (F.coalesce(asks, no) if normalise else no).alias("asked"),
+            (F.coalesce(moves, no) if normalise else no).alias("moved"),
+        )
+
+    def values(s: Column) -> Column:
+        args = s["x"]["args"]
+        kind = F.when(s["asked"] & ~F.map_contains_key(args, F.lit("kind")), member(args, "type")).otherwise(member(args, "kind"))
+        named = F.upper(strip(_text_of(kind)))
+        words = member(args, "text")
+        nothing = words.isNull() | (F.schema_of_variant(words) == "VOID")
+        listed = F.transform(items(member(args, "choices")), as_text)
+        if normalise == "eval":
+            listed = F.when(s["asked"], F.slice(listed, 1, 10)).otherwise(listed)
+        return F.struct(
+            s.alias("s"),
+            F.when(s["asked"], F.when(named.isin(*INTERACT_KINDS), named).otherwise("QUESTION")).otherwise(_text_of(kind)).alias("kind"),
+            F.when(s["asked"] & nothing, F.lit("")).when(s["asked"] | is_text(words), as_text(words)).alias("text"),
+            (s["asked"] | is_text(words)).alias("text_ok"),
+            F.when(s["asked"], F.coalesce(listed, F.array().cast("array<string>"))).otherwise(listed).alias("choices"),
+            F.to_json(member(args, "obj")).alias("obj"),
+        )
+
+    def described(v: Column) -> Column:
+        s, x = v["s"], v["s"]["x"]
+        top, args, asked, moved = x["top"], x["args"], s["asked"], s["moved"]
+        question = [v["choices"].alias("choices"), v["kind"].alias("kind")]
+        rest = F.when(moved, F.coalesce(v["obj"], F.lit("null"))).otherwise(F.to_json(F.map_filter(top, lambda k, _: k != "tool")))
+        own_args = F.when(moved, literal_array(("obj",))).otherwise(F.array_sort(F.map_keys(args)))
+        all_text = F.coalesce(F.forall(items(member(args, "choices")), is_text), F.lit(False))
+        return F.struct(
+            x["valid_json"].alias("valid_json"),
+            top.isNotNull().alias("is_object"),
+            F.coalesce(x["tool"], F.lit("None")).alias("tool"),
+            F.when(asked | moved, literal_array(("args", "tool"))).otherwise(F.array_sort(F.map_keys(top))).alias("top_keys"),
+            F.when(asked, literal_array(("choices", "kind", "text"))).otherwise(own_args).alias("arg_keys"),
+            v["kind"].alias("kind"),
+            v["text"].alias("text"),
+            v["text_ok"].alias("text_ok"),
+            v["choices"].alias("choices"),
+            (asked | all_text).alias("choices_ok"),
+            v["obj"].alias("obj"),
+            is_text(member(args, "obj")).alias("obj_ok"),
+            _text_of(member(args, "amount")).alias("amount"),
+            F.when(asked, F.to_json(F.struct(*question, v["text"].alias("text")))).otherwise(rest).alias("body"),
+            F.when(asked, F.to_json(F.struct(*question))).otherwise(rest).alias("body_without_text"),
+        )
+
+    bound = let(let(let(let(strict_json(text), heads), tools), shapes), values)
+    return let(bound, described)
 
 
 def call_violations(call: Column, env: Column | str | None = None) -> Column:
@@ -106,13 +113,17 @@ def call_violations(call: Column, env: Column | str | None = None) -> Column:
 
     With ``env`` the tool must also belong to that environment's skills.
     """
+    place = F.lit(None).cast("string") if env is None else F.lit(env) if isinstance(env, str) else env
+    return let(F.struct(call.alias("call"), place.alias("env")), lambda x: _broken_rules(x["call"], None if env is None else x["env"]))
+
+
+def _broken_rules(call: Column, env: Column | None) -> Column:
     tool, args = call["tool"], call["arg_keys"]
     if env is None:
         known, known_env = tool.isin(*ALL_TOOLS), F.lit(True)
     else:
         pairs = [x for e, skills in ENV_SKILLS.items() for x in (F.lit(e), literal_array(skills))]
-        place = F.lit(env) if isinstance(env, str) else env
-        skills = F.try_element_at(F.create_map(*pairs), place)
+        skills = F.try_element_at(F.create_map(*pairs), env)
         known_env = skills.isNotNull()
         known = F.coalesce(F.array_contains(skills, tool), F.lit(False))
     asks, has_args = tool == "INTERACT", args.isNotNull()

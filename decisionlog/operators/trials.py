@@ -93,15 +93,14 @@ def snapshot_objects(snapshots: DataFrame, keys: Sequence[str] = TRIAL_KEYS) ->
 def dedup_objects(objects: DataFrame, trial: Sequence[str], order: Order) -> DataFrame:
     """Collapse repeated (label, cell) detections of a trial.
 
-    The first detection wins, held if any was; ids become ``obj_1..n`` in order of first detection. The order must be
-    over one column, whose first value stays as that column.
+    The first detection wins, held if any was; ids become ``obj_1..n`` in order of first detection. The order columns
+    are those of the first detection.
     """
-    at = order.columns[0]
     merged = objects.groupBy(*trial, *_SCENE).agg(
-        F.min(at).alias(at), F.min_by("yaw", order.key).alias("yaw"), F.bool_or("is_held").alias("is_held")
-    )
+        F.min(order.key).alias("_first"), F.min_by("yaw", order.key).alias("yaw"), F.bool_or("is_held").alias("is_held")
+    ).select(*trial, *_SCENE, "yaw", "is_held", "_first.*")
     numbered = position(merged, trial, order, "_no")
-    return numbered.select(*trial, F.concat(F.lit("obj_"), F.col("_no").cast("string")).alias("id"), *_SCENE, "yaw", "is_held", at)
+    return numbered.select(*trial, F.concat(F.lit("obj_"), F.col("_no").cast("string")).alias("id"), *_SCENE, "yaw", "is_held", *order.columns)
 
 
 def last_target(calls: DataFrame, order: Order, keys: Sequence[str] = TRIAL_KEYS, *, tool: str = "tool_name", target: str = "target_object_id") -> DataFrame:
@@ -357,21 +356,30 @@ def extraction_report(scenarios: DataFrame, dropped: DataFrame) -> DataFrame:
     return rows.groupBy("dim", "key").agg(F.count("*").alias("n"))
 
 
+def trial_heads(calls: DataFrame, order: Order, keys: Sequence[str] = TRIAL_KEYS) -> DataFrame:
+    """What a trial's calls say about its scene, from one aggregate: first ``snapshot`` and last ``target``."""
+    aimed = F.col("tool_name").isin(*MOTION_TOOLS) & (F.coalesce("target_object_id", F.lit("")) != "")
+    return calls.groupBy(*keys).agg(
+        F.min_by("state_snapshot", order.key).alias("snapshot"),
+        F.max_by(F.when(aimed, F.col("target_object_id")), F.when(aimed, order.key)).alias("target"),
+    )
+
+
 def build_scenarios(
-    trials: DataFrame, calls: DataFrame, priors: DataFrame, order: Order, *, min_support: int = 1, frac: float = 0.5
+    trials: DataFrame, heads: DataFrame, priors: DataFrame, *, min_support: int = 1, frac: float = 0.5
 ) -> tuple[DataFrame, DataFrame]:
     """All trials as scenarios; returns (scenarios, dropped).
 
-    Assistive trials with calls take layout, start pose and target from their own log; all others inherit a template.
+    ``heads`` is :func:`trial_heads`, one row per trial and used several times: store or checkpoint it first. Assistive
+    trials with calls take layout, start pose and target from their own log; all others inherit a template.
     """
     keys = list(TRIAL_KEYS)
-    assisted = calls.join(trials.filter(F.col("mode") == "assistive").select(*keys), keys, "left_semi")
-    heads = first_snapshots(assisted, order)
+    heads = heads.filter(F.col("mode") == "assistive")
     objects = snapshot_objects(heads)
     deduped = dedup_objects(objects, keys, by_number("pos"))
     g = F.col("snapshot.gripper")
     poses = heads.select(*keys, g["grid_label"].alias("cell"), yaw_bin(g["yaw"]).alias("yaw"), height_bin(g["height"]).alias("z"))
-    aims = remap_targets(last_target(assisted, order), objects, deduped)
+    aims = remap_targets(heads.filter(F.col("target").isNotNull()).select(*keys, "target"), objects, deduped)
     item = F.struct("id", "label", F.col("label").alias("raw_label"), "cell", yaw_bin(F.col("yaw")).alias("yaw"), "is_held")
     # at most one entry per (label, cell): a scene
     scenes = deduped.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", item.alias("o")))).alias("_o"))

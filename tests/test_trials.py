@@ -158,7 +158,7 @@ def test_scenarios_from_logs(spark, logs):
     commands = src.read_commands(spark, logs)
     assert commands.count() == 3
     priors = C.user_priors(commands, list(S.TRIAL_KEYS), order)
-    scenarios, dropped = T.build_scenarios(trials, src.read_calls(spark, logs), priors, order)
+    scenarios, dropped = T.build_scenarios(trials, T.trial_heads(src.read_calls(spark, logs), order).checkpoint(), priors)
     rows = {r.source.trial_id: r for r in scenarios.collect()}
     assert [(r.trial_id, r.reason) for r in dropped.collect()] == [("trial_5", "no scene template for s2/hard (and no difficulty fallback)")]
     one = rows["trial_1"]
