@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from decisionlog.functions.bind import let
 from decisionlog.functions.draw import draw, pick, uniform
 from decisionlog.functions.geometry import cell_distance, cell_neighbours, literal_array, yaw_neighbours
 from decisionlog.schemas import OBJECT_LABELS
@@ -63,7 +64,8 @@ def _token(row_id: Column, salt: str, seed: int, index: Column) -> Column:
 
 
 def _moved(value: Column, near: Column, token: Column, p: Probability) -> Column:
-    return F.when(_hit(token, p), F.get(near, pick(token, F.greatest(F.size(near), F.lit(1))))).otherwise(value)
+    drawn = let(near, lambda n: F.get(n, pick(token, F.greatest(F.size(n), F.lit(1)))))
+    return F.when(_hit(token, p), drawn).otherwise(value)
 
 
 def near_candidates(objects: Column, cell: Column, radius: int | Column = 1) -> Column:
@@ -77,24 +79,30 @@ def _current_cell(history: Column) -> Column:
     return F.coalesce(F.get(history, F.size(history) - 1)["cell"], F.lit("B2"))
 
 
-def _with_candidates(df: DataFrame, obs: str, radius: int) -> DataFrame:
-    near = near_candidates(F.col(f"{obs}.objects"), _current_cell(F.col(f"{obs}.gripper_hist")), radius)
-    return df.withColumn(obs, F.col(obs).withField("memory", F.col(f"{obs}.memory").withField("candidates", near)))
+def _changed(df: DataFrame, obs: str, change: Callable[[Column], Column], radius: int) -> DataFrame:
+    """Replace the observation by ``change`` of it, then look up the candidates in reach of its last pose."""
 
+    def refreshed(o: Column) -> Column:
+        near = near_candidates(o["objects"], _current_cell(o["gripper_hist"]), radius)
+        return o.withField("memory", o["memory"].withField("candidates", near))
 
-def _jitter_poses(df: DataFrame, p: Probability, seed: int, obs: str, id_col: str, *, yaw: bool) -> DataFrame:
+    return df.withColumn(obs, let(let(F.col(obs), change), refreshed))
+
+
+def _jittered(history: Column, row_id: Column, p: Probability, seed: int, *, yaw: bool) -> Column:
     def pose(h: Column, i: Column) -> Column:
-        out = h.withField("cell", _moved(h["cell"], cell_neighbours(h["cell"]), _token(F.col(id_col), "pose-cell", seed, i), p))
+        out = h.withField("cell", _moved(h["cell"], cell_neighbours(h["cell"]), _token(row_id, "pose-cell", seed, i), p))
         if yaw:
-            out = out.withField("yaw", _moved(h["yaw"], yaw_neighbours(h["yaw"]), _token(F.col(id_col), "pose-yaw", seed, i), p))
+            out = out.withField("yaw", _moved(h["yaw"], yaw_neighbours(h["yaw"]), _token(row_id, "pose-yaw", seed, i), p))
         return out
 
-    return df.withColumn(obs, F.col(obs).withField("gripper_hist", F.transform(F.col(f"{obs}.gripper_hist"), pose)))
+    return F.transform(history, pose)
 
 
 def perturb_user_input(df: DataFrame, p: Probability, seed: int = 0, *, obs: str = "obs", id_col: str = "id", radius: int = 1) -> DataFrame:
     """Noisy control signal: each pose moves to a neighbouring cell and an adjacent yaw bin with ``p``."""
-    return _with_candidates(_jitter_poses(df, p, seed, obs, id_col, yaw=True), obs, radius)
+    change = lambda o: o.withField("gripper_hist", _jittered(o["gripper_hist"], F.col(id_col), p, seed, yaw=True))
+    return _changed(df, obs, change, radius)
 
 
 def perturb_grid(df: DataFrame, p: Probability, seed: int = 0, *, obs: str = "obs", id_col: str = "id", radius: int = 1) -> DataFrame:
@@ -103,8 +111,11 @@ def perturb_grid(df: DataFrame, p: Probability, seed: int = 0, *, obs: str = "ob
     def moved(o: Column, i: Column) -> Column:
         return o.withField("cell", _moved(o["cell"], cell_neighbours(o["cell"]), _token(F.col(id_col), "object-cell", seed, i), p))
 
-    rows = df.withColumn(obs, F.col(obs).withField("objects", F.transform(F.col(f"{obs}.objects"), moved)))
-    return _with_candidates(_jitter_poses(rows, p, seed, obs, id_col, yaw=False), obs, radius)
+    def change(o: Column) -> Column:
+        hist = _jittered(o["gripper_hist"], F.col(id_col), p, seed, yaw=False)
+        return o.withField("objects", F.transform(o["objects"], moved)).withField("gripper_hist", hist)
+
+    return _changed(df, obs, change, radius)
 
 
 def perturb_candidates(df: DataFrame, p: Probability, seed: int = 0, *, obs: str = "obs", id_col: str = "id") -> DataFrame:

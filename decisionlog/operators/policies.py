@@ -11,6 +11,7 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from decisionlog.functions.bind import let
 from decisionlog.functions.geometry import cell_distance
 from decisionlog.functions.text import strip
 
@@ -109,19 +110,26 @@ def scored_candidates(ids: Column, objects: Column, value: Callable[[Column], Co
 
     def entry(c: Column, i: Column) -> Column:
         same = F.filter(objects, lambda o: o["id"] == c)
-        cell = F.get(same, F.size(same) - 1)["cell"]
-        return F.struct(c.alias("id"), i.alias("at"), value(cell).cast("double").alias("v"))
+        cell = let(same, lambda s: F.get(s, F.size(s) - 1)["cell"])
+        return F.struct(c.alias("id"), i.alias("at"), let(cell, value).cast("double").alias("v"))
 
     return F.filter(F.transform(F.array_distinct(ids), entry), lambda s: s["v"].isNotNull())
 
 
 def softmax(scored: Column) -> Column:
     """``[{p, order, id}]`` from scored candidates; ``order`` makes the first of equal shares the greatest."""
-    top = F.array_max(F.transform(scored, lambda s: s["v"]))
-    total = F.aggregate(scored, F.lit(0.0), lambda acc, s: acc + F.exp(s["v"] - top))
-    return F.transform(
-        scored, lambda s: F.struct((F.exp(s["v"] - top) / total).alias("p"), (-s["at"]).alias("order"), s["id"].alias("id"))
-    )
+
+    def weighed(s: Column) -> Column:
+        top = F.array_max(F.transform(s, lambda x: x["v"]))
+        return let(
+            top, lambda m: F.transform(s, lambda x: F.struct(F.exp(x["v"] - m).alias("e"), (-x["at"]).alias("order"), x["id"].alias("id")))
+        )
+
+    def shared(ws: Column) -> Column:
+        total = F.aggregate(ws, F.lit(0.0), lambda acc, w: acc + w["e"])
+        return let(total, lambda z: F.transform(ws, lambda w: F.struct((w["e"] / z).alias("p"), w["order"].alias("order"), w["id"].alias("id"))))
+
+    return let(let(scored, weighed), shared)
 
 
 def _cell_at(history: Column, back: int) -> Column:
@@ -201,7 +209,7 @@ def motion_shares(ids: Column, objects: Column, history: Column, beta: float = 1
     even = F.transform(
         ids, lambda c, i: F.struct((F.lit(1.0) / F.size(ids)).alias("p"), (-i).alias("order"), c.alias("id"))
     )
-    return F.when(F.size(scored) > 0, softmax(scored)).otherwise(even)
+    return let(scored, lambda s: F.when(F.size(s) > 0, softmax(s)).otherwise(even))
 
 
 def motion_prior(df: DataFrame, beta: float = 1.5, dir_w: float = 0.5, name: str = "prior") -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from decisionlog.functions.draw import draw, pick, uniform  # noqa: F401
 from decisionlog.functions.jsontext import strict_json
 from decisionlog.operators import commands as C
 from decisionlog.operators import evaluate as E
@@ -15,7 +14,7 @@ from decisionlog.operators.perturb import NoiseProfile, corrupt_commands
 from decisionlog.operators.toolcalls import call_violations, read_call
 from decisionlog.operators.triage import parse_questions, triage_generations
 from decisionlog.plans import views as V
-from decisionlog.plans.registry import checksum, query, sql_checksum, sql_draw, sql_pick, sql_uniform
+from decisionlog.plans.registry import query, sql_draw, sql_pick, sql_uniform, unfold
 
 _RATE = "CASE WHEN SUM({b}) > 0 THEN CAST(SUM({a}) AS DOUBLE) / SUM({b}) ELSE 0.0 END"
 
@@ -174,7 +173,7 @@ def page_triage(t):
 )
 def toolcall_violations(t):
     calls = read_call(V.logged_calls(t), "raw", "call", normalise=None)
-    return calls.select(F.explode(call_violations(F.col("call"))).alias("rule")).groupBy("rule").agg(F.count("*").alias("n"))
+    return unfold(calls.select(call_violations(F.col("call")).alias("v")), "v", "rule").groupBy("rule").agg(F.count("*").alias("n"))
 
 
 @query(

@@ -25,6 +25,14 @@ def query(sql: str | None = None, *views: str):
     return register
 
 
+def unfold(df: DataFrame, column: str, name: str) -> DataFrame:
+    """One row per array entry, column ``name`` alone.
+
+    An inner ``explode`` makes the optimiser copy the array's whole expression into a filter below it.
+    """
+    return df.select(F.explode_outer(column).alias(name)).filter(F.col(name).isNotNull())
+
+
 def checksum(column: str) -> Column:
     """Order-free sum over the rows' texts, to compare which rows were chosen."""
     return F.sum(F.conv(F.substring(F.md5(F.col(column).cast("string")), 1, 8), 16, 10).cast("bigint")).alias("checksum")
