@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from decisionlog.functions.bind import let
+from decisionlog.functions.jsontext import strict_json
 from decisionlog.functions.text import ratio
 from decisionlog.operators.perturb import NOISE_LEVELS, at_levels
-from decisionlog.operators.toolcalls import call_violations, read_call, same_call
-from decisionlog.operators.triage import triage_generations
+from decisionlog.operators.toolcalls import call_violations, describe_call, describe_typed, same_call
+from decisionlog.operators.triage import first_values
 from decisionlog.schemas import ALL_TOOLS, MAX_CHOICES, MOTION_TOOLS
 
 # The counters of a scored row; each is 0 or 1.
@@ -50,9 +51,15 @@ def score(
     Text that is not strict JSON is searched for its first balanced object. Rows whose ground truth is no JSON object
     count in ``n`` and nowhere else.
     """
-    rows = triage_generations(df, raw, out="_pred")
-    rows = read_call(read_call(rows, truth, "gt", normalise=normalise), "_pred", "pred", normalise=normalise)
-    return _score_calls(rows.withColumn("_missing", F.col(raw).isNull()), df.columns, ignore_text)
+    rows = first_values(df, raw, "_pred", "_cut")
+    rows = rows.withColumns(
+        {
+            "gt": describe_call(strict_json(F.col(truth)), normalise=normalise),
+            "pred": describe_call(F.col("_pred"), normalise=normalise),
+            "_missing": F.col(raw).isNull(),
+        }
+    )
+    return _score_calls(rows, df.columns, ignore_text)
 
 
 def _score_calls(rows: DataFrame, columns: Sequence[str], ignore_text: bool) -> DataFrame:
@@ -106,10 +113,10 @@ def _flags(gt: Column, pred: Column, missing: Column, valid: Column, ignore_text
 
 def score_typed(df: DataFrame, truth: str = "gt_call", pred: str = "pred") -> DataFrame:
     """The same for typed calls, such as a policy's answers."""
-    rows = df.withColumn("_gt_text", F.to_json(truth)).withColumn("_pred_text", F.to_json(pred))
-    plain = rows.drop(pred) if pred == "pred" else rows
-    calls = read_call(read_call(plain, "_gt_text", "gt"), "_pred_text", "pred").withColumn("_missing", F.col("_pred_text").isNull())
-    return _score_calls(calls, [c for c in df.columns if c != pred], True)
+    fields = {c: df.select(f"{c}.args.*").columns for c in (truth, pred)}
+    rows = df.withColumns({"_gt": describe_typed(F.col(truth), fields[truth]), "_given": describe_typed(F.col(pred), fields[pred]), "_missing": F.col(pred).isNull()})
+    rows = rows.drop(*{"gt", "pred"} & set(df.columns)).withColumnsRenamed({"_gt": "gt", "_given": "pred"})
+    return _score_calls(rows, [c for c in df.columns if c not in ("gt", "pred")], True)
 
 
 def count_scores(scored: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

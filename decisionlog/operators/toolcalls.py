@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +27,7 @@ def read_call(df: DataFrame, text: str, name: str, *, normalise: str | None = "o
     keeps only ``obj`` for the two motion tools. ``"eval"`` is the variant that rebuilds INTERACT only when the logged
     tool is already spelled ``INTERACT``, and keeps at most ten choices. ``None`` describes the call as it is.
     """
-    return df.withColumn(name, describe_call(F.col(text), normalise=normalise))
+    return df.withColumn(name, describe_call(strict_json(F.col(text)), normalise=normalise))
 
 
 def _text_of(value: Column) -> Column:
@@ -33,8 +35,8 @@ def _text_of(value: Column) -> Column:
     return F.when(is_text(value), F.try_variant_get(value, "$", "string"))
 
 
-def describe_call(text: Column, *, normalise: str | None = "offline") -> Column:
-    """The struct :func:`read_call` adds. The text is parsed once and every step bound to a name."""
+def describe_call(parsed: Column, *, normalise: str | None = "offline") -> Column:
+    """The struct :func:`read_call` adds, from a VARIANT that is null for unreadable text. Every step is bound to a name."""
     if normalise not in ("offline", "eval", None):
         raise ValueError(f"unknown normaliser {normalise!r}")
 
@@ -104,10 +106,53 @@ def describe_call(text: Column, *, normalise: str | None = "offline") -> Column:
             F.when(asked, F.to_json(F.struct(*question))).otherwise(rest).alias("body_without_text"),
         )
 
-    bound = let(let(let(let(strict_json(text), heads), tools), shapes), values)
+    bound = let(let(let(let(parsed, heads), tools), shapes), values)
     return let(bound, described)
 
 
+def describe_typed(call: Column, fields: Sequence[str]) -> Column:
+    """The struct of :func:`describe_call` (``offline``) for a typed call ``<tool, args<...>>``, without any JSON.
+
+    ``fields`` names the members of ``args``; those that are null count as absent.
+    """
+
+    def described(c: Column) -> Column:
+        args = c["args"]
+        text = lambda f: args[f].cast("string") if f in fields else F.lit(None).cast("string")
+        choices = args["choices"] if "choices" in fields else F.lit(None).cast("array<string>")
+        tool = F.upper(strip(c["tool"]))
+        asked = F.coalesce((tool == "INTERACT") & args.isNotNull(), F.lit(False))
+        moved = F.coalesce(tool.isin(*MOTION_TOOLS) & args.isNotNull(), F.lit(False))
+        named = F.upper(strip(text("kind")))
+        kind = F.when(asked, F.when(named.isin(*INTERACT_KINDS), named).otherwise("QUESTION")).otherwise(text("kind"))
+        listed = F.when(asked, F.coalesce(choices, F.array().cast("array<string>"))).otherwise(choices)
+        words = F.when(asked, F.coalesce(text("text"), F.lit(""))).otherwise(text("text"))
+        present = F.array(*[F.when(args[f].isNotNull(), F.lit(f)) for f in sorted(fields)])
+        own = F.when(asked, literal_array(("choices", "kind", "text"))).when(moved, literal_array(("obj",))).otherwise(F.filter(present, lambda x: x.isNotNull()))
+        sep, gone = F.lit("\u0001"), F.lit("\u0002")
+        question = F.concat(kind, sep, F.array_join(listed, "\u0003"))
+        rest = F.when(moved, F.coalesce(text("obj"), gone)).otherwise(F.concat(*[F.concat(F.coalesce(text(f), gone), sep) for f in ("kind", "text", "obj", "amount")], F.coalesce(F.array_join(listed, "\u0003"), gone)))
+        return F.struct(
+            c.isNotNull().alias("valid_json"),
+            c.isNotNull().alias("is_object"),
+            F.coalesce(tool, F.lit("None")).alias("tool"),
+            literal_array(("args", "tool")).alias("top_keys"),
+            F.when(args.isNotNull(), own).alias("arg_keys"),
+            kind.alias("kind"),
+            words.alias("text"),
+            (asked | text("text").isNotNull()).alias("text_ok"),
+            listed.alias("choices"),
+            (asked | choices.isNotNull()).alias("choices_ok"),
+            text("obj").alias("obj"),
+            text("obj").isNotNull().alias("obj_ok"),
+            text("amount").alias("amount"),
+            F.when(asked, F.concat(question, sep, words)).otherwise(rest).alias("body"),
+            F.when(asked, question).otherwise(rest).alias("body_without_text"),
+        )
+
+    return let(call, described)
+
+
 def call_violations(call: Column, env: Column | str | None = None) -> Column:
     """Every rule a described call breaks, as an array of names (empty when valid).
 

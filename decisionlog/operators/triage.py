@@ -44,19 +44,25 @@ def triage_generations(df: DataFrame, raw: str, *, out: str = "parsed") -> DataF
     Classes: ``ok``, ``not_an_object``, ``json_error``, ``json_error_after_extract``. Strict JSON is tested by Spark;
     only text that fails goes to Python, once, to cut out the first balanced object.
     """
-    rows = df.withColumn("_value", strict_json(F.col(raw)))
-    failed = F.when(F.col("_value").isNull() & F.contains(F.col(raw), F.lit("{")), F.col(raw))
-    rows = rows.withColumn("_cut", first_object(failed))
-    rows = rows.withColumn("_second", strict_json(F.col("_cut")))
-    value = F.coalesce("_value", "_second")
-    is_object = members(value).isNotNull()
+    rows = first_values(df, raw, "_value", "_cut")
+    is_object = members(F.col("_value")).isNotNull()
     state = (
-        F.when(value.isNotNull() & is_object, "ok")
-        .when(value.isNotNull(), "not_an_object")
+        F.when(F.col("_value").isNotNull(), F.when(is_object, "ok").otherwise("not_an_object"))
         .when(F.col("_cut").isNotNull(), "json_error_after_extract")
         .otherwise("json_error")
     )
-    return rows.select(*df.columns, F.when(is_object, F.to_json(value)).alias(out), state.alias(f"{out}_class"))
+    return rows.select(*df.columns, F.when(is_object, F.to_json("_value")).alias(out), state.alias(f"{out}_class"))
+
+
+def first_values(df: DataFrame, raw: str, value: str, cut: str) -> DataFrame:
+    """Add ``value``, the VARIANT of a text or of the first balanced object in it, and that object's text ``cut``.
+
+    ``cut`` is null where the whole text is strict JSON; ``value`` is null where neither is.
+    """
+    rows = df.withColumn("_strict", strict_json(F.col(raw)))
+    failed = F.when(F.col("_strict").isNull() & F.contains(F.col(raw), F.lit("{")), F.col(raw))
+    rows = rows.withColumn(cut, first_object(failed))
+    return rows.withColumn(value, F.coalesce("_strict", strict_json(F.col(cut)))).drop("_strict")
 
 
 def parse_questions(df: DataFrame, raw: str, *, out: str = "question") -> DataFrame:

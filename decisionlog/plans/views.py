@@ -43,6 +43,17 @@ def event_order(width_seconds: int = 86_400) -> Order:
     return by_time("ts", "event_id", width_seconds=width_seconds)
 
 
+def all_cores(df: DataFrame) -> DataFrame:
+    """A small table spread over all cores ahead of heavy work per row.
+
+    A table with enough input partitions stays as it is, and so does a stream.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def events(t: Tables) -> DataFrame:
     """Events with ``k`` (0..99) from their properties and the stamp in seconds."""
     e = t.events
@@ -58,7 +69,7 @@ def logged_calls(t: Tables) -> DataFrame:
 
     Answers are right, wrong, mis-spelled, wrapped in chatter, cut short or no object at all, by ``k``.
     """
-    e = events(t)
+    e = all_cores(events(t))
     k, kind = F.col("k"), F.col("event_type")
     ask = F.concat(F.lit('{"tool":"INTERACT","args":{"kind":"QUESTION","text":"'), k.cast("string"), F.lit('","choices":["1) YES","2) NO"]}}'))
     obj = k % 5
