@@ -68,8 +68,8 @@ def condition_summary(rollouts: DataFrame, keys: Sequence[str] = ("mode", "condi
     )
 
 
-def weighted_conditions(conditions: DataFrame, difficulty: str | None = None, mode: str = "prime", keys: Sequence[str] = ("condition",)) -> DataFrame:
-    """Success and interactions per condition, weighted by rollouts."""
+def weighted_conditions(conditions: DataFrame, mode: str, difficulty: str | None = None, keys: Sequence[str] = ("condition",)) -> DataFrame:
+    """Success and interactions of one mode per condition, weighted by rollouts."""
     rows = conditions.filter(F.col("mode") == mode)
     if difficulty is not None:
         rows = rows.filter(F.col("difficulty") == difficulty)
@@ -78,8 +78,8 @@ def weighted_conditions(conditions: DataFrame, difficulty: str | None = None, mo
     return rows.groupBy(*keys).agg(weighted("success_rate"), weighted("mean_interactions"), n.alias("n")).filter(F.col("n") > 0)
 
 
-def cell_means(conditions: DataFrame, mode: str = "prime", cell: str = "cell") -> DataFrame:
-    """Plain means of a cell's condition rows (A25), whatever their rollout counts."""
+def cell_means(conditions: DataFrame, mode: str, cell: str = "cell") -> DataFrame:
+    """Plain means of a cell's condition rows in one mode (A25), whatever their rollout counts."""
     return conditions.filter(F.col("mode") == mode).groupBy(cell).agg(
         F.round(F.avg("success_rate"), 4).alias("success_rate"),
         F.round(F.avg("mean_interactions"), 3).alias("mean_interactions"),

@@ -308,28 +308,28 @@ def condition_summary(t):
     return S.condition_summary(V.rollouts(t))
 
 
-_WEIGHTED = "SELECT condition, round(SUM(success_rate * n_rollouts) / SUM(n_rollouts), 6) AS success_rate, round(SUM(mean_interactions * n_rollouts) / SUM(n_rollouts), 6) AS mean_interactions, CAST(SUM(n_rollouts) AS BIGINT) AS n FROM summary WHERE mode = 'prime'{} GROUP BY condition"
+_WEIGHTED = "SELECT condition, round(SUM(success_rate * n_rollouts) / SUM(n_rollouts), 6) AS success_rate, round(SUM(mean_interactions * n_rollouts) / SUM(n_rollouts), 6) AS mean_interactions, CAST(SUM(n_rollouts) AS BIGINT) AS n FROM summary WHERE mode = 'assisted'{} GROUP BY condition"
 
 
 @query(_WEIGHTED.format(""), "summary")
 def weighted_condition(t):
-    return _rounded(S.weighted_conditions(S.condition_summary(V.rollouts(t))))
+    return _rounded(S.weighted_conditions(S.condition_summary(V.rollouts(t)), "assisted"))
 
 
 @query(_WEIGHTED.format(" AND difficulty = 'hard'"), "summary")
 def weighted_condition_hard(t):
-    return _rounded(S.weighted_conditions(S.condition_summary(V.rollouts(t)), "hard"))
+    return _rounded(S.weighted_conditions(S.condition_summary(V.rollouts(t)), "assisted", "hard"))
 
 
 @query(
     """SELECT regexp_extract(cell, '^(.*)__(.*)$', 1) AS model, regexp_extract(cell, '^(.*)__(.*)$', 2) AS rerank, round(round(AVG(s), 4) * 100, 1) AS success_pct, round(round(AVG(i), 3), 2) AS mean_interactions,
     CAST(SUM(n) AS BIGINT) AS n_rollouts, round(max(g), 3) AS mean_ig_bits FROM (SELECT cell, condition, difficulty, round(avg(success), 4) AS s, round(avg(interactions), 2) AS i, COUNT(*) AS n
-    FROM rollouts WHERE mode = 'prime' GROUP BY cell, condition, difficulty) LEFT JOIN (SELECT cell, avg(interactions / 8.0) AS g FROM rollouts GROUP BY cell) USING (cell) GROUP BY cell""",
+    FROM rollouts WHERE mode = 'assisted' GROUP BY cell, condition, difficulty) LEFT JOIN (SELECT cell, avg(interactions / 8.0) AS g FROM rollouts GROUP BY cell) USING (cell) GROUP BY cell""",
     "rollouts",
 )
 def ablation_table(t):
     r = V.rollouts(t)
-    cells = S.cell_means(S.condition_summary(r, ["cell", "mode", "condition", "difficulty"]))
+    cells = S.cell_means(S.condition_summary(r, ["cell", "mode", "condition", "difficulty"]), "assisted")
     ig = S.cell_ig(r.select("cell", F.lit("chosen").alias("selector"), (F.col("interactions") / 8).alias("ig_bits")))
     table = S.ablation_table(cells, ig)
     return table.select("model", "rerank", F.round("success_pct", 1).alias("success_pct"), F.round("mean_interactions", 2).alias("mean_interactions"), "n_rollouts", "mean_ig_bits")
@@ -411,7 +411,7 @@ def incremental_append(t):
     return todo.groupBy("status").agg(F.count("*").alias("pending"), F.min("key").alias("first_key"))
 
 
-@query("SELECT o_orderstatus AS status, condition, mode, CAST(COUNT(*) * 3 AS BIGINT) AS runs FROM orders, (VALUES ('clean'), ('noisy')) c(condition), (VALUES ('prime'), ('manual')) m(mode) GROUP BY 1, 2, 3")
+@query("SELECT o_orderstatus AS status, condition, mode, CAST(COUNT(*) * 3 AS BIGINT) AS runs FROM orders, (VALUES ('clean'), ('noisy')) c(condition), (VALUES ('assisted'), ('manual')) m(mode) GROUP BY 1, 2, 3")
 def sweep_grid(t):
-    grid = S.sweep_grid(t.orders.select("o_orderkey", F.col("o_orderstatus").alias("status")), ("clean", "noisy"), ("prime", "manual"), 3)
+    grid = S.sweep_grid(t.orders.select("o_orderkey", F.col("o_orderstatus").alias("status")), ("clean", "noisy"), ("assisted", "manual"), 3)
     return grid.groupBy("status", "condition", "mode").agg(F.count("*").alias("runs"))

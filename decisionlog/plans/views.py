@@ -304,7 +304,7 @@ def rollouts(t: Tables) -> DataFrame:
     n, p = F.col("l_linenumber"), F.col("l_partkey")
     return x.select(
         F.col("l_orderkey").cast("string").alias("scenario_id"),
-        F.when(F.col("l_linestatus") == "O", "prime").otherwise("manual").alias("mode"),
+        F.when(F.col("l_linestatus") == "O", "assisted").otherwise("manual").alias("mode"),
         F.col("l_returnflag").alias("condition"),
         F.when(n % 2 == 0, "easy").otherwise("hard").alias("difficulty"),
         ((n + p) % 3 > 0).cast("int").alias("success"),
@@ -465,7 +465,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "rollouts": (
         (),
-        f"""SELECT CASE l_linestatus WHEN 'O' THEN 'prime' ELSE 'manual' END AS mode, l_returnflag AS condition,
+        f"""SELECT CASE l_linestatus WHEN 'O' THEN 'assisted' ELSE 'manual' END AS mode, l_returnflag AS condition,
         CASE WHEN l_linenumber % 2 = 0 THEN 'easy' ELSE 'hard' END AS difficulty,
         CASE WHEN (l_linenumber + l_partkey) % 3 > 0 THEN 1 ELSE 0 END AS success, l_extendedprice / 1000 AS t, CAST(l_quantity AS INT) AS inputs,
         l_partkey % 6 AS interactions, l_partkey % 4 AS dropped, l_partkey % 5 AS reversals, l_partkey % 7 AS motions,

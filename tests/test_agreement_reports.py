@@ -65,7 +65,7 @@ def test_kappa_fixture(spark):
 
 
 def rollouts(spark):
-    rows = [("prime", "clean", "easy", 1, 10.0, 4), ("prime", "clean", "easy", 1, 13.0, 8), ("prime", "clean", "easy", 0, 99.0, 50), ("manual", "clean", "hard", 0, 1.0, 1)]
+    rows = [("assisted", "clean", "easy", 1, 10.0, 4), ("assisted", "clean", "easy", 1, 13.0, 8), ("assisted", "clean", "easy", 0, 99.0, 50), ("manual", "clean", "hard", 0, 1.0, 1)]
     df = spark.createDataFrame(rows, "mode string, condition string, difficulty string, success int, completion_time_sec double, total_inputs int")
     more = ("interactions", "dropped_inputs", "direction_reversals", "motion_tool_calls", "target_filtered_out", "terminated_at_max_ticks")
     return df.withColumns({c: F.when(F.col("success") == 1, 1).otherwise(4) for c in more})
@@ -73,22 +73,22 @@ def rollouts(spark):
 
 def test_conditions(spark):
     got = {r.mode: r for r in R.condition_summary(rollouts(spark)).collect()}
-    p = got["prime"]
+    p = got["assisted"]
     assert (p.n_rollouts, p.success_rate, p.mean_completion_time_sec, p.std_completion_time_sec) == (3, 0.6667, 11.5, 2.121)
     assert (p.mean_total_inputs, p.std_total_inputs, p.mean_interactions, p.max_ticks_rate) == (6.0, 2.83, 2.0, 2.0)
     assert (got["manual"].mean_completion_time_sec, got["manual"].std_total_inputs) == (0.0, 0.0)
 
 
 def test_weighted_golden(spark):
-    rows = [("prime", "clean", "easy", 128, 1.0, 1.0, 5.0), ("prime", "clean", "hard", 154, 0.7013, 2.0, 6.0), ("manual", "clean", "hard", 5, 0.0, 0.0, 1.0)]
+    rows = [("assisted", "clean", "easy", 128, 1.0, 1.0, 5.0), ("assisted", "clean", "hard", 154, 0.7013, 2.0, 6.0), ("manual", "clean", "hard", 5, 0.0, 0.0, 1.0)]
     df = spark.createDataFrame(rows, "mode string, condition string, difficulty string, n_rollouts bigint, success_rate double, mean_interactions double, mean_completion_time_sec double")
-    row = R.weighted_conditions(df).first()
+    row = R.weighted_conditions(df, "assisted").first()
     assert row.n == 282 and round(row.success_rate, 4) == 0.8369
-    assert R.weighted_conditions(df, "easy").first().success_rate == 1.0
-    cells = R.cell_means(df.withColumn("cell", F.lit("m__x__random"))).first()
+    assert R.weighted_conditions(df, "assisted", "easy").first().success_rate == 1.0
+    cells = R.cell_means(df.withColumn("cell", F.lit("m__x__random")), "assisted").first()
     assert (cells.success_rate, cells.n_rollouts) == (0.8506, 282) or (cells.success_rate, cells.n_rollouts) == (0.8507, 282)
     ig = spark.createDataFrame([("m__x__random", "chosen", 0.6), ("m__x__random", "chosen", 0.1), ("z", "random", 1.0)], "cell string, selector string, ig_bits double")
-    table = R.ablation_table(R.cell_means(df.withColumn("cell", F.lit("m__x__random"))), R.cell_ig(ig)).first()
+    table = R.ablation_table(R.cell_means(df.withColumn("cell", F.lit("m__x__random")), "assisted"), R.cell_ig(ig)).first()
     assert (table.model, table.rerank, table.mean_ig_bits, table.frac_ig_ge_0p5) == ("m__x", "random", 0.35, 0.5)
     model, mode = R.cell_name(F.lit("plain"))
     assert tuple(spark.range(1).select(model, mode).first()) == ("plain", "info_gain")
@@ -130,7 +130,7 @@ def test_small_reports(spark):
     df = spark.createDataFrame([("a", 0.5, 1), ("b", 0.9, 3), ("c", 0.9, 2), ("d", None, 0)], "m string, v double, o int")
     assert [r.m for r in R.flag_best(df, "v", ties=["o"]).filter("best").collect()] == ["c"]
     assert [r.m for r in R.flag_best(df, "v", higher=False, ties=["o"]).filter("best").collect()] == ["a"]
-    grid = R.sweep_grid(spark.createDataFrame([("s1",), ("s2",)], "scenario_id string"), ["clean", "noisy"], ["prime"], 3)
+    grid = R.sweep_grid(spark.createDataFrame([("s1",), ("s2",)], "scenario_id string"), ["clean", "noisy"], ["assisted"], 3)
     assert grid.count() == 12
     assert R.pending(grid, grid.filter("seed < 2"), ["scenario_id", "condition", "mode", "seed"]).count() == 4
     xy = spark.createDataFrame([(1, 2.0), (2, 4.1), (3, 5.9), (4, 8.0)], "x int, y double")
