@@ -9,7 +9,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from decisionlog.llm import decontaminate, quality, sharding, url_filter, warc
+from decisionlog.llm import decontaminate, jaccard, quality, sharding, url_filter, warc
 
 cloudpickle.register_pickle_by_value(sys.modules["decisionlog.llm"])  # tasks need no copy of the package
 
@@ -58,6 +58,11 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, listed, URL_RULES).drop("possible")
 
 
+@query()
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_groups(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's slot and shard, and its shard once one more is added."""
