@@ -11,7 +11,6 @@ Texts of any length are scanned whole.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from decisionlog.llm.shared import stored
-from decisionlog.llm.textscan import ALPHANUMERIC, LOWER, Words, covered, pieces, rolled, starts_that_fit
+from decisionlog.llm.textscan import ALPHANUMERIC, LOWER, Words, pieces, rolled, starts_that_fit, without
 
 WIDTH = 10
 SLICE_WINDOWS = 500_000
@@ -170,14 +169,10 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                 words = _normalised(data, first, end) if any(spans[i : i + len(first)]) else None
                 for row in range(len(first)):
                     if spans[i + row]:
-                        low, raw, done, left = words.low[row], [], first[row], 0
-                        gone = covered(np.array([w for s in spans[i + row] for w in range(s["first"], s["last"])]), 1, words.high[row] - low)
-                        left = int((~gone).sum())
+                        gone = np.zeros(len(words.start), bool)
                         for s in spans[i + row]:
-                            raw.append(data[done : words.start[low + s["first"]]].tobytes())
-                            done = words.end[low + s["last"] - 1]
-                        texts[i + row] = b"".join([*raw, data[done : end[row]].tobytes()]).decode()
-                        keep[i + row] = left > 0
+                            gone[words.low[row] + s["first"] : words.low[row] + s["last"]] = True
+                        texts[i + row], keep[i + row] = without(words, row, gone, data)
             if texts:
                 column = batch.column(at).to_pylist()
                 for row, text in texts.items():
@@ -188,8 +183,3 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
             yield batch.filter(pa.array(keep))
 
     return found.mapInArrow(cut, found.schema).select(*docs.columns)
-
-
-def items_digest(items: list[str]) -> str:
-    """The digest of a set of item ids."""
-    return hashlib.sha256(",".join(sorted(set(items))).encode()).hexdigest()

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from decisionlog.llm.components import components
-from decisionlog.llm.packed import by_range, dealt, ranges, runs
+from decisionlog.llm.packed import by_range, dealt_table, ranges, runs, unplanes
 from decisionlog.llm.shared import stored
 from decisionlog.llm.textscan import LOWER, Words, mix, pieces, rolled
 
@@ -149,12 +149,8 @@ def _postings(docs: DataFrame, held: Broadcast, width: int, percent: int) -> Dat
                     tokens.append(prefix)
                     refs.append(np.full(len(prefix), key[0], np.int64))
             if tokens:
-                out = list(dealt(np.concatenate(tokens), n_ranges, np.concatenate(refs)))
                 origin = int(np.bitwise_xor.reduce([r[0] for r in refs]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([p for p, _ in out], pa.int32()), pa.array([origin] * len(out), pa.int64()), *(pa.array([x[k] for _, x in out], pa.binary()) for k in (0, 1))],
-                    ["part", "origin", "tokens", "refs"],
-                )
+                yield from dealt_table(np.concatenate(tokens), n_ranges, origin, ["tokens", "refs"], np.concatenate(refs)).to_batches()
 
     return docs.mapInArrow(post, _POST)
 
@@ -180,8 +176,8 @@ def _hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield out
                     tokens, refs, size = ([known], [hubs], 0) if p == part else ([], [], 0)
                 part = p
-            tokens.append(np.frombuffer(t, _U))
-            refs.append(np.frombuffer(r, np.int64))
+            tokens.append(unplanes(t, _U))
+            refs.append(unplanes(r, np.int64))
             size += len(refs[-1])
     if tokens:
         yield merged(tokens, refs)[2]

@@ -9,7 +9,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from decisionlog.llm import decontaminate, jaccard, quality, sharding, url_filter, warc
+from decisionlog.llm import decontaminate, jaccard, quality, sharding, substrings, url_filter, warc
 
 cloudpickle.register_pickle_by_value(sys.modules["decisionlog.llm"])  # tasks need no copy of the package
 
@@ -71,6 +71,22 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.withColumn("slot", sharding.slot_of([F.col("doc_id")])).withColumn("moves", F.col("shard") != F.col("shard_after"))
 
 
+OP5_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+w AS (SELECT doc_id, i, array_to_string(words[i:i+12], ' ') AS gram FROM (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM d WHERE len(words) >= 13)),
+gone AS (SELECT DISTINCT doc_id, i + k AS p FROM (SELECT doc_id, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY gram) AS least FROM w) WHERE least < doc_id), range(0, 13) AS r(k)),
+p AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS p FROM d),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text FROM p ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+
+@query(OP5_SQL)
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup_report(table(spark, sf_dir, "documents"))
+
+
 OP7_SQL = r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,

@@ -80,7 +80,7 @@ class Words:
         full = end > first
         before[first[full]] = False
         after[end[full] - 1] = False
-        self.data, self.inside = data, inside
+        self.data, self.inside, self.first, self.stop = data, inside, first, end
         self.start = np.flatnonzero(inside & ~before)
         self.end = np.flatnonzero(inside & ~after) + 1
         #: words [low, high) belong to a row
@@ -127,3 +127,17 @@ def covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:
     np.add.at(edge, starts, 1)
     np.add.at(edge, np.minimum(np.asarray(starts) + width, n), -1)
     return np.cumsum(edge[:n]) > 0
+
+
+def without(words: Words, row: int, gone: np.ndarray, data: np.ndarray | None = None) -> tuple[str, bool]:
+    """A row's text without its words that are gone, and whether a word is left. ``data``: the bytes to cut, if other than those scanned."""
+    data = words.data if data is None else data
+    low, high = int(words.low[row]), int(words.high[row])
+    mask = np.r_[False, gone[low:high], False]
+    begin, end = np.flatnonzero(mask[1:] & ~mask[:-1]), np.flatnonzero(mask[:-1] & ~mask[1:])
+    raw, done = [], int(words.first[row])
+    for a, b in zip(begin, end, strict=True):
+        raw.append(data[done : words.start[low + a]].tobytes())
+        done = int(words.end[low + b - 1])
+    raw.append(data[done : int(words.stop[row])].tobytes())
+    return b"".join(raw).decode(), bool((~gone[low:high]).any())
