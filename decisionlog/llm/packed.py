@@ -63,6 +63,11 @@ def runs(keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def ends(first: np.ndarray, n: int) -> np.ndarray:
+    """Where the runs that begin at ``first`` end, among ``n`` entries."""
+    return np.r_[first[1:], n] if len(first) else first
+
+
 def grouped(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[tuple[object, pa.Table]]:
     """Consecutive rows with equal values in a column, over the bounds of batches."""
     held: list[pa.RecordBatch] = []

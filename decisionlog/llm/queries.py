@@ -9,7 +9,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from decisionlog.llm import decontaminate, jaccard, quality, sharding, substrings, url_filter, warc
+from decisionlog.llm import decontaminate, jaccard, quality, sharding, substrings, suffixes, url_filter, warc
 
 cloudpickle.register_pickle_by_value(sys.modules["decisionlog.llm"])  # tasks need no copy of the package
 
@@ -127,6 +127,11 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query()
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup_report(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))

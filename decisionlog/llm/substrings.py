@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from decisionlog.llm.packed import by_range, dealt_table, grouped, planes, ranges, runs, unplanes
+from decisionlog.llm.packed import by_range, dealt_table, ends, grouped, planes, ranges, runs, unplanes
 from decisionlog.llm.recompress import recompressed
 from decisionlog.llm.textscan import Words, covered, pieces, rolled, starts_that_fit, without
 
@@ -139,7 +139,7 @@ def report_windows(id_col: str, text_col: str, width: int, n_ranges: int) -> Cal
         new = np.ones(len(one), bool)
         new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
         first = np.flatnonzero(new)
-        last = doc[np.r_[first[1:], len(doc)] - 1] if len(first) else doc
+        last = doc[ends(first, len(doc)) - 1]
         columns = two[first], doc[first], (last != doc[first]).astype(np.uint8)
         return dealt_table(one[first], n_ranges, key[0].as_py(), ["keys", "more", "docs", "several"], *columns)
 
