@@ -9,7 +9,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from decisionlog.llm import decontaminate, jaccard, quality, sharding, substrings, suffixes, url_filter, warc
+from decisionlog.llm import decontaminate, jaccard, packing, pieces, quality, sharding, substrings, suffixes, url_filter, warc
 
 cloudpickle.register_pickle_by_value(sys.modules["decisionlog.llm"])  # tasks need no copy of the package
 
@@ -58,6 +58,13 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, listed, URL_RULES).drop("possible")
 
 
+@query()
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's best piece ids, the next paths with their scores, and whether decoding gives the text back."""
+    out = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.size("ids").alias("n_pieces"), "score", "ids", "alternatives", "lossless")
+
+
 @query()
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_groups(table(spark, sf_dir, "documents"))
@@ -87,6 +94,14 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup_report(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed sequences of all documents, their id and position lines as digests."""
+    packed = packing.pack(table(spark, sf_dir, "documents"))
+    digests = {"ids": F.sha2("ids", 256), "positions": F.sha2("positions", 256)}
+    return packed.withColumns(digests)
+
+
 OP7_SQL = r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
