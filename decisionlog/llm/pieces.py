@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import heapq
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from itertools import chain
 
@@ -131,12 +131,15 @@ def best_path(text: str, v: Vocabulary) -> tuple[list[int], float, float]:
     return list(chain.from_iterable(reversed(found))), best[-1], best[-1] - second[-1]
 
 
-def backward(words: Sequence[str], v: Vocabulary, n: int) -> list[tuple[float, list[list[int]]]]:
-    """The n best paths through a chain of word lattices: score, and the ids of each word. A* from the end, exact estimates."""
-    lattices = [_edges(w, v) for w in words]
+def backward(words: Sequence[str], lattice: Callable, v: Vocabulary, n: int) -> list[tuple[float, list[list[int]]]]:
+    """The n best paths through a chain of word lattices: score, and the ids of each word. A* from the end.
+
+    ``lattice`` gives a word's edges and its best scores from the left, which are exact estimates.
+    """
+    held = [lattice(w) for w in words]
+    lattices = [edges for edges, _ in held]
     estimates, sum_ = [], 0.0
-    for w in words:
-        best = forward(w, v)[0]
+    for _, best in held:
         estimates.append([sum_ + x for x in best])
         sum_ += best[-1]
     if not words:
@@ -175,39 +178,40 @@ def words_of(text: str, v: Vocabulary) -> list[str]:
 
 
 class _Table:
-    """Piece hashes in two open tables, so that a look-up is one or two gathers."""
+    """Hashes of the pieces and of their beginnings in two open tables, so that a look-up is one or two gathers."""
 
     def __init__(self, v: Vocabulary):
         self.ratio = np.uint64(0x9E3779B97F4A7C15)
-        self.scores = np.array(v.scores + [float("-inf")])
-        names = sorted(v.ids)
-        keys = np.zeros(len(names), np.uint64)  # the same hash as in ``best_paths``
-        for k, name in enumerate(names):
+        self.scores = np.array(v.scores)
+        self.keys, self.ids = [np.zeros(1 << b, np.uint64) for b in (18, 20)], [np.full(1 << b, -1, np.int32) for b in (18, 20)]
+        known: dict[int, int] = {}
+        for name, piece in v.ids.items():
             h = 0
             for c in name:
-                h = (h * int(self.ratio) + ord(c) + 1) % (1 << 64)
-            keys[k] = h
-        self.keys, self.ids = np.zeros((2, 1 << 20), np.uint64), np.full((2, 1 << 20), -1, np.int32)
-        for key, name in zip(keys, names, strict=True):
-            for t in (0, 1):
-                slot = self._slot(key, t)
-                if self.ids[t, slot] < 0:
-                    self.keys[t, slot], self.ids[t, slot] = key, v.ids[name]
-                    break
-            else:
-                raise ValueError("three pieces share their places")
+                h = (h * int(self.ratio) + ord(c) + 1) % (1 << 64)  # the same hash as in ``best_paths``
+                known.setdefault(h, -2)
+            known[h] = piece
+        keys, ids = np.array(list(known), np.uint64), np.array(list(known.values()), np.int32)
+        for t in (0, 1):
+            slot = self._slot(keys, t)
+            _, first = np.unique(slot, return_index=True)
+            self.keys[t][slot[first]], self.ids[t][slot[first]] = keys[first], ids[first]
+            keys, ids = np.delete(keys, first), np.delete(ids, first)
+        self.rest = {int(k): int(i) for k, i in zip(keys, ids, strict=True)}
 
     @staticmethod
     def _slot(key, t: int):
-        return (key * np.uint64((0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)[t])) >> np.uint64(44)
+        return (key * np.uint64((0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)[t])) >> np.uint64((46, 44)[t])
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Piece ids, -1 where the hash is none's."""
+        """Piece ids, -2 for the beginning of one, -1 for neither."""
         slot = self._slot(hashes, 0)
         ids = np.where(self.keys[0][slot] == hashes, self.ids[0][slot], -1)
-        rest = np.flatnonzero(ids < 0)
+        rest = np.flatnonzero(ids == -1)
         slot = self._slot(hashes[rest], 1)
         ids[rest] = np.where(self.keys[1][slot] == hashes[rest], self.ids[1][slot], -1)
+        for key, piece in self.rest.items():
+            ids[hashes == np.uint64(key)] = piece
         return ids
 
 
@@ -220,19 +224,25 @@ def best_paths(words: list[str], v: Vocabulary, table: _Table) -> list[tuple[byt
     begin, piece = np.zeros((size + 1, n), np.int32), np.full((size + 1, n), -1, np.int32)
     best[0] = 0
     for a in range(size):
-        hashes = np.zeros(n, np.uint64)
+        rows, hashes = np.arange(n), np.zeros(n, np.uint64)
         for b in range(a + 1, min(size, a + v.longest) + 1):
-            hashes = hashes * table.ratio + codes[:, b - 1]
+            hashes = hashes * table.ratio + codes[rows, b - 1]
             ids = table.find(hashes)
-            score = table.scores[ids]
-            if b == a + 1:
-                score = np.where(ids < 0, v.worst - 10, score)
-            total, next_ = best[a] + score, second[a] + score
-            better = total > best[b]
-            second[b] = np.where(better, np.maximum(best[b], next_), np.maximum(second[b], total))
-            best[b] = np.where(better, total, best[b])
-            begin[b] = np.where(better, a, begin[b])
-            piece[b] = np.where(better, ids, piece[b])
+            if b == a + 1:  # any character is a step
+                on, piece_ids, score = rows, np.maximum(ids, -1), np.where(ids >= 0, table.scores[ids], v.worst - 10)
+            else:
+                there = ids >= 0
+                on, piece_ids = rows[there], ids[there]
+                score = table.scores[piece_ids]
+            old, total, next_ = best[b, on], best[a, on] + score, second[a, on] + score
+            better = total > old
+            second[b, on] = np.maximum(np.where(better, np.maximum(old, next_), total), second[b, on])
+            win = on[better]
+            best[b, win], begin[b, win], piece[b, win] = total[better], a, piece_ids[better]
+            going = ids != -1
+            rows, hashes = rows[going], hashes[going]
+            if not len(rows):
+                break
     at, every, steps = np.full(n, size), np.arange(n), []
     while at.any():
         steps.append(np.where(at > 0, piece[at, every], -2))
@@ -250,7 +260,15 @@ LONG_WORD = 40
 
 class _Encoder:
     def __init__(self, v: Vocabulary, n: int):
-        self.v, self.n, self.cache, self.table = v, n, {}, _Table(v)
+        self.v, self.n, self.cache, self.table, self.lattices = v, n, {}, _Table(v), {}
+
+    def _lattice(self, word: str) -> tuple[list, list[float]]:
+        got = self.lattices.get(word)
+        if got is None:
+            if len(self.lattices) > CACHE // 30:
+                self.lattices.clear()
+            got = self.lattices[word] = _edges(word, self.v), forward(word, self.v)[0]
+        return got
 
     def learn(self, words: set[str]) -> None:
         """Put the best paths of words into the cache: words of one length together, very long ones alone."""
@@ -285,7 +303,7 @@ class _Encoder:
         few = min(self.n - 1, len(words))
         at = np.sort(_smallest(losses, few)).tolist() if few else []
         alternatives = []
-        for part, path in backward([words[k] for k in at], self.v, self.n)[1:]:
+        for part, path in backward([words[k] for k in at], self._lattice, self.v, self.n)[1:]:
             edits = []
             for k, ids in zip(at, path, strict=True):
                 if np.array(ids, np.int32).tobytes() != raws[k]:
