@@ -34,7 +34,7 @@ CELLS, SLICES = 1 << 20, 64
 MOST_MATCHES = 4
 VERIFY_COST, TOKEN_COST = 4.0, 2.0
 BLOCK = 256
-FLUSH = 4_000_000
+FLUSH, HEAVY = 4_000_000, 1000
 _U = np.uint64
 _MASK = _U(CELLS - 1)
 
@@ -130,7 +130,7 @@ def _sketch(scanned: DataFrame) -> tuple[np.ndarray, float]:
     return counts, float(np.median(counts))
 
 
-_POST = "part int, origin long, tokens binary, refs binary"
+_POST = "part int, origin long, tokens binary, refs binary, sizes binary"
 
 
 def _postings(docs: DataFrame, held: Broadcast, width: int, percent: int) -> DataFrame:
@@ -140,7 +140,7 @@ def _postings(docs: DataFrame, held: Broadcast, width: int, percent: int) -> Dat
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, usual = held.value
         for batch in batches:
-            tokens, refs, seen = [], [], set()
+            tokens, refs, sizes, seen = [], [], [], set()
             for row in _sets(batch.column(1), width):
                 key = _set_key(row)
                 if len(row) and key not in seen:
@@ -148,39 +148,78 @@ def _postings(docs: DataFrame, held: Broadcast, width: int, percent: int) -> Dat
                     prefix, _ = _prefix(row, counts, usual, percent)
                     tokens.append(prefix)
                     refs.append(np.full(len(prefix), key[0], np.int64))
+                    sizes.append(np.full(len(prefix), len(row), np.uint32))
             if tokens:
                 origin = int(np.bitwise_xor.reduce([r[0] for r in refs]))
-                yield from dealt_table(np.concatenate(tokens), n_ranges, origin, ["tokens", "refs"], np.concatenate(refs)).to_batches()
+                yield from dealt_table(np.concatenate(tokens), n_ranges, origin, ["tokens", "refs", "sizes"], np.concatenate(refs), np.concatenate(sizes)).to_batches()
 
     return docs.mapInArrow(post, _POST)
 
 
-def _hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(hub, member) of every shingle that two sets share. Memory: the distinct shingles of a range and FLUSH entries."""
+def _hubs(percent: int):
+    """(hub, member) of every shingle that two sets share whose sizes may link.
 
-    def merged(tokens: list[np.ndarray], refs: list[np.ndarray]):
-        t, r = np.concatenate(tokens), np.concatenate(refs)
+    A shingle's sets are sorted by size and cut where the next is too large to link with the last. Memory: the entries of a range; beyond
+    FLUSH of them, shingles with very many sets are sent off around one hub, whatever the sizes (size 0 stands for such a hub).
+    """
+
+    def edges(hub: np.ndarray, member: np.ndarray) -> pa.RecordBatch:
+        pairs = np.unique(np.stack([hub, member], 1)[hub != member], axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["hub", "member"])
+
+    def ordered(held: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        t, r, n = (np.concatenate(c) for c in zip(*held, strict=True))
         order = np.argsort(t, kind="stable")
-        t, r = t[order], r[order]
+        first = runs(t[order])
+        shared = order[np.repeat(np.diff(np.r_[first, len(t)]) > 1, np.diff(np.r_[first, len(t)]))]
+        shared = shared[np.lexsort((r[shared], n[shared], t[shared]))]
+        return t[shared], r[shared], n[shared]
+
+    def chains(held: list[tuple]) -> pa.RecordBatch:
+        t, r, n = ordered(held)
+        new = np.ones(len(t), bool)
+        far = (100 * n[:-1].astype(np.int64) < percent * n[1:].astype(np.int64)) & ~np.repeat(*_per_run(t, n == 0))[1:]
+        new[1:] = (t[1:] != t[:-1]) | far
+        first = np.flatnonzero(new)
+        return edges(np.repeat(r[first], np.diff(np.r_[first, len(t)])), r)
+
+    def lighter(held: list[tuple]) -> tuple[tuple, pa.RecordBatch]:
+        t, r, n = (np.concatenate(c) for c in zip(*held, strict=True))
+        order = np.lexsort((r, n, t))
+        t, r, n = t[order], r[order], n[order]
         first = runs(t)
-        hub = np.repeat(r[first], np.diff(np.r_[first, len(t)]))
-        pairs = np.unique(np.stack([hub, r], 1)[hub != r], axis=0)
-        return t[first], r[first], pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["hub", "member"])
-
-    part, tokens, refs, size = None, [], [], 0
-    for batch in batches:
-        for p, t, r in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3)), strict=True):
-            if p != part or size > FLUSH:
-                if tokens:
-                    known, hubs, out = merged(tokens, refs)
+        size = np.diff(np.r_[first, len(t)])
+        heavy = np.repeat(size > HEAVY, size)
+        hub = np.repeat(r[first], size)
+        head = np.zeros(len(t), bool)
+        head[first] = True
+        keep = ~heavy | head
+        return (t[keep], r[keep], np.where(heavy, 0, n)[keep].astype(np.uint32)), edges(hub[heavy], r[heavy])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held, size = None, [], 0
+        for batch in batches:
+            for p, *blobs in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4)), strict=True):
+                if p != part and held:
+                    yield chains(held)
+                    held, size = [], 0
+                elif size > FLUSH:
+                    kept, out = lighter(held)
                     yield out
-                    tokens, refs, size = ([known], [hubs], 0) if p == part else ([], [], 0)
+                    held, size = [kept], 0
                 part = p
-            tokens.append(unplanes(t, _U))
-            refs.append(unplanes(r, np.int64))
-            size += len(refs[-1])
-    if tokens:
-        yield merged(tokens, refs)[2]
+                held.append(tuple(unplanes(x, kind) for x, kind in zip(blobs, (_U, np.int64, np.uint32), strict=True)))
+                size += len(held[-1][0])
+        if held:
+            yield chains(held)
+
+    return run
+
+
+def _per_run(keys: np.ndarray, flag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether a run of equal keys begins with a flag, and the lengths of the runs."""
+    first = runs(keys)
+    return flag[first], np.diff(np.r_[first, len(keys)])
 
 
 def _forest(docs: list, cross: bool, percent: int) -> list[tuple[int, int]]:
@@ -271,7 +310,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     held = docs.sparkSession.sparkContext.broadcast(_sketch(scanned))
     facts = scanned.filter("n_shingles is not null").select("doc_id", "n_shingles", "key1", "key2")
     nodes = stored(facts.filter("doc_id is not null and n_shingles > 0").groupBy("key1", "key2").agg(F.min("doc_id").alias("node")))
-    edges = by_range(_postings(texts.filter("doc_id is not null"), held, width, percent)).mapInArrow(_hubs, "hub long, member long").distinct()
+    edges = by_range(_postings(texts.filter("doc_id is not null"), held, width, percent)).mapInArrow(_hubs(percent), "hub long, member long").distinct()
     edges = stored(edges.unionAll(edges.select("hub", F.col("hub").alias("member")).distinct()))
     member = edges.join(nodes.select(F.col("key1").alias("member"), F.col("node").alias("doc_id")), "member").select("hub", "doc_id")
     blocks = edges.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
