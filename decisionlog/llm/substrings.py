@@ -23,18 +23,19 @@ from pyspark.sql import functions as F
 
 from decisionlog.llm.packed import by_range, dealt_table, ends, grouped, planes, ranges, runs, unplanes
 from decisionlog.llm.recompress import recompressed
+from decisionlog.llm.shared import partitions
 from decisionlog.llm.textscan import Words, covered, pieces, rolled, starts_that_fit, without
 
 WIDTH = 13
 ROUNDS, LEAST_WORDS = 3, 2
 _U = np.uint64
-BUCKET = "__bucket"
+BUCKET, BUCKETS_PER_PARTITION = "__bucket", 2
 
 
 def bucketed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``docs`` with the bucket of each id; rows without an id are spread by their text."""
     key = F.coalesce(F.when(F.col(id_col).isNotNull(), F.xxhash64(id_col)), F.xxhash64(text_col))
-    return docs.withColumn(BUCKET, F.pmod(key, F.lit(ranges(docs))).cast("int"))
+    return docs.withColumn(BUCKET, F.pmod(key, F.lit(BUCKETS_PER_PARTITION * partitions(docs.sparkSession))).cast("int"))
 
 
 def _texts(rows: pa.Table, text_col: str) -> Iterator[tuple[int, Words]]:
