@@ -5,7 +5,7 @@ into *chunks*: ranges of the sort order. The large shuffle and sort happen per (
 its predecessors is a single small row per (key, chunk), combined per key and joined back. A key holding a third of the
 table is spread over as many tasks as it has chunks, and results equal the plain window.
 
-Key columns must not be null.
+A null key is a key of its own.
 """
 
 from __future__ import annotations
@@ -65,7 +65,11 @@ def _across(keys: Sequence[str]) -> Window:
 
 
 def _join_chunks(rows: DataFrame, chunks: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return rows.join(chunks, [*keys, CHUNK], "left")
+    """``rows`` with the columns of their chunk; null keys are keys like others."""
+    names = [*keys, CHUNK]
+    other = chunks.withColumnsRenamed({n: f"_of_{n}" for n in names})
+    same = [F.col(n).eqNullSafe(F.col(f"_of_{n}")) for n in names]
+    return rows.join(other, same, "left").drop(*[f"_of_{n}" for n in names])
 
 
 def previous(

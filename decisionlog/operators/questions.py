@@ -294,7 +294,7 @@ def distinct_questions(candidates: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def state_hash(obs: str = "obs") -> Column:
-    """16 hex digits naming a state: objects with cell and yaw, current pose, candidates and excluded ids."""
+    """The digest that names a state: objects with cell and yaw, current pose, candidates and excluded ids."""
     known = lambda c: F.coalesce(c, F.lit(""))
     objects = F.array_sort(
         F.transform(f"{obs}.objects", lambda o: F.array(known(o["id"]), known(o["cell"]), known(o["yaw"])))
@@ -306,7 +306,7 @@ def state_hash(obs: str = "obs") -> Column:
         F.array(now["cell"], now["yaw"]).alias("gripper"),
         F.coalesce(objects, F.array().cast("array<array<string>>")).alias("objs"),
     )
-    return F.substring(F.sha1(F.to_json(state, {"ignoreNullFields": "false"})), 1, 16)
+    return F.sha2(F.to_json(state, {"ignoreNullFields": "false"}), 256)
 
 
 def dedup_states(df: DataFrame, order: Order, obs: str = "obs") -> DataFrame:

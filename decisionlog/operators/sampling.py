@@ -68,35 +68,47 @@ def rebalance_stats(
     return stats.withColumn("written", F.col("kept_interact") + F.col("kept_motion") * F.lit(max(1, int(repeat))))
 
 
+def _stratum(columns: Sequence[str]) -> Column:
+    """One key for several columns, nulls apart from any value."""
+    parts = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in columns]
+    return F.concat_ws("\u0001", *parts)
+
+
 def assign_by_rank(
     df: DataFrame, strata: Sequence[str], cuts: DataFrame, labels: Sequence[str], token: Column, name: str, ties: Sequence[str]
 ) -> DataFrame:
     """Label rows by their token rank inside a stratum.
 
     ``cuts`` has the strata columns and, per label, ``upto_<label>``: ranks above the previous label's bound and up to
-    this one get the label. Rows beyond the last bound are left out. The number of strata is that of ``cuts``.
+    this one get the label. Rows beyond the last bound are left out. The number of strata is that of ``cuts``; a null
+    stratum is one of them. The strata are joined as one text key, so that they never become a join without keys.
     """
-    rows = df.withColumn("_token", token).withColumn("_bucket", bucket(F.col("_token")))
+    strata = list(strata)
+    cuts = cuts.withColumn("_stratum", _stratum(strata)).drop(*strata)
+    rows = df.withColumns({"_stratum": _stratum(strata), "_token": token}).withColumn("_bucket", bucket(F.col("_token")))
+    strata = ["_stratum"]
     counts = rows.groupBy(*strata, "_bucket").agg(F.count("*").alias("_n"))
     along = Window.partitionBy(*strata).orderBy("_bucket")  # at most 65,536 rows per stratum
     counts = counts.withColumn("_end", F.sum("_n").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    bounds = counts.join(cuts, list(strata))
+    bounds = counts.join(cuts, strata)
+    whole = Window.partitionBy(*strata)
 
     def reached(label: str) -> Column:
         bound = F.col(f"upto_{label}")
         inside = (bound > F.col("_end") - F.col("_n")) & (bound <= F.col("_end"))
-        cut = F.min(F.when(inside, F.struct(F.col("_bucket").alias("bucket"), (F.col("_end") - F.col("_n")).alias("before"))))
+        cut = F.min(F.when(inside, F.struct(F.col("_bucket").alias("bucket"), (F.col("_end") - F.col("_n")).alias("before")))).over(whole)
         # a bound of zero is reached before the first bucket, a bound beyond the stratum after the last
-        nowhere = F.when(F.min(bound) <= 0, F.lit(-1)).otherwise(F.lit(BUCKETS))
+        nowhere = F.when(bound <= 0, F.lit(-1)).otherwise(F.lit(BUCKETS))
         return F.struct(
             F.lit(label).alias("label"),
-            F.min(bound).alias("upto"),
+            bound.alias("upto"),
             F.coalesce(cut["bucket"], nowhere).alias("bucket"),
             cut["before"].alias("before"),
         )
 
-    plan = bounds.groupBy(*strata).agg(F.array(*[reached(x) for x in labels]).alias("_cuts"))
-    placed = rows.join(plan, list(strata))
+    # one row per stratum and bucket: joining on both spreads a large stratum over its buckets
+    plan = bounds.select(*strata, "_bucket", F.array(*[reached(x) for x in labels]).alias("_cuts"))
+    placed = rows.join(plan, [*strata, "_bucket"])
     on_edge = F.exists("_cuts", lambda c: c["bucket"] == F.col("_bucket"))
     inner = placed.filter(~on_edge).withColumn(
         name, F.get(F.filter("_cuts", lambda c: c["bucket"] > F.col("_bucket")), F.lit(0))["label"]
@@ -124,11 +136,16 @@ def split_by_source(
     return assign_by_rank(df, [source], sizes, ["valid", "train"], draw(F.col(id_col), "split", seed), name, [id_col])
 
 
+def _one_stratum(df: DataFrame, id_col: str) -> DataFrame:
+    """All rows in stratum 0. Not a literal: the optimiser would turn a join on it into a cross join."""
+    return df.withColumn("_all", F.pmod(F.xxhash64(id_col), F.lit(1).cast("bigint")))
+
+
 def auto_split(df: DataFrame, frac: float = 0.05, seed: int = 0, *, id_col: str = "id", name: str = "split") -> DataFrame:
     """A validation split of the whole table (G4); a table of one row is all training."""
     n = F.count("*")
     wanted = F.when(n >= 2, F.least(F.greatest(F.lit(1), F.bround(n * F.lit(float(frac)), 0).cast("bigint")), n - 1)).otherwise(0)
-    rows = df.withColumn("_all", F.lit(0))
+    rows = _one_stratum(df, id_col)
     sizes = rows.groupBy("_all").agg(wanted.alias("upto_valid"), n.alias("upto_train"))
     return assign_by_rank(rows, ["_all"], sizes, ["valid", "train"], draw(F.col(id_col), "split", seed), name, [id_col]).drop("_all")
 
@@ -162,8 +179,8 @@ def quota_split(df: DataFrame, targets: DataFrame, seed: int = 0, *, id_col: str
 
 def uniform_sample(df: DataFrame, n: int, seed: int = 0, *, id_col: str = "id") -> DataFrame:
     """Exactly ``n`` rows (or all) without replacement (K4)."""
-    rows = df.withColumn("_all", F.lit(0))
-    cuts = df.sparkSession.createDataFrame([(0, int(n))], "_all int, upto_kept bigint")
+    rows = _one_stratum(df, id_col)
+    cuts = df.sparkSession.createDataFrame([(0, int(n))], "_all bigint, upto_kept bigint")
     return assign_by_rank(rows, ["_all"], cuts, ["kept"], draw(F.col(id_col), "sample", seed), "_label", [id_col]).drop("_all", "_label")
 
 

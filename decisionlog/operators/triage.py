@@ -2,47 +2,43 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from decisionlog.functions.bind import let
 from decisionlog.functions.jsontext import as_text, items, member, members, strict_json
 from decisionlog.functions.text import strip
 from decisionlog.schemas import INTERACT_KINDS
 
 
+#: A string literal (also one that never ends), a brace, or a run of anything else.
+_TOKENS = r'(?s)"(?:[^"\\]++|\\.)*+(?:"|\\?\z)|[{}]|[^"{}]++'
+
+
 def first_object(text: Column) -> Column:
-    """The first ``{...}`` of each text whose braces balance outside string literals (Arrow batches)."""
-
-    # Nested, so that it travels by value and executors do not need this package.
-    def balanced(value):
-        begin = value.find("{")
-        depth, quoted, at = 0, False, begin
-        while 0 <= begin <= at < len(value):
-            mark = value[at]
-            if quoted and mark == "\\":
-                at += 1
-            elif mark == '"':
-                quoted = not quoted
-            elif not quoted and mark in "{}":
-                depth += 1 if mark == "{" else -1
-                if depth == 0:
-                    return value[begin : at + 1]
-            at += 1
-        return None
-
-    def batch(values: pd.Series) -> pd.Series:
-        return values.map(balanced, na_action="ignore")
-
-    return F.pandas_udf(batch, T.StringType())(text)
+    """The first ``{...}`` of each text whose braces balance outside string literals.
+
+    From the first brace on the text is cut into tokens; the sum of the braces so far says where the object ends.
+    """
+    tail = F.substring(text, F.locate("{", text), F.length(text))
+    step = lambda token: F.when(token == "{", 1).when(token == "}", -1).otherwise(0)
+
+    def walk(state: Column, token: Column) -> Column:
+        depth = state["depth"] + step(token)
+        ends = (token == "}") & (depth == 0)
+        length = state["length"] + F.length(token)
+        return F.when(state["ended"], state).otherwise(F.struct(depth.alias("depth"), length.alias("length"), ends.alias("ended")))
+
+    begin = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("length"), F.lit(False).alias("ended"))
+    end = F.aggregate(F.regexp_extract_all(tail, F.lit(_TOKENS), F.lit(0)), begin, walk, lambda s: F.when(s["ended"], s["length"]))
+    return F.when(F.contains(text, F.lit("{")), let(end, lambda n: F.substring(tail, F.lit(1), n)))
 
 
 def triage_generations(df: DataFrame, raw: str, *, out: str = "parsed") -> DataFrame:
     """Add ``out`` (JSON text of the object, or null) and ``out_class``.
 
     Classes: ``ok``, ``not_an_object``, ``json_error``, ``json_error_after_extract``. Strict JSON is tested by Spark;
-    only text that fails goes to Python, once, to cut out the first balanced object.
+    text that fails is searched for its first balanced object.
     """
     rows = first_values(df, raw, "_value", "_cut")
     is_object = members(F.col("_value")).isNotNull()

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from decisionlog.functions.geometry import CELLS, YAW_BINS, Z_BINS, cell_distance, height_bin, literal_array, yaw_bin, yaw_steps
+from decisionlog.functions.geometry import CELLS, YAW_BINS, Z_BINS, cell_distance, height_bin, yaw_bin, yaw_steps
 from decisionlog.functions.jsontext import members, strict_json
 from decisionlog.functions.labels import canonical_label
 from decisionlog.operators.ordered import Order, by_number, by_value, position
@@ -177,18 +177,11 @@ def inherit_layout(trials: DataFrame, templates: DataFrame, fallbacks: DataFrame
     pooled = fallbacks.select("difficulty", F.struct("objects", "gripper_init", "n_source_trials").alias("_pooled"))
     rows = trials.join(own, ["subject", "difficulty"], "left").join(pooled, "difficulty", "left")
     rows = rows.withColumn("_layout", F.coalesce("_own", "_pooled"))
-    n = F.col("_layout.n_source_trials").cast("string")
-    where = F.concat("subject", F.lit("/"), "difficulty")
-    notes = F.when(
-        F.col("_own").isNotNull(), F.concat(F.lit("layout inherited from "), n, F.lit(" assistive "), where, F.lit(" trials"))
-    ).otherwise(
-        F.concat(
-            F.lit("layout pooled from "), n, F.lit(" assistive "), F.col("difficulty"), F.lit(" trials across subjects; "), F.col("subject"), F.lit(" had no own assistive data")
-        )
-    )
+    origin = F.when(F.col("_own").isNotNull(), F.lit("own")).otherwise(F.lit("pooled"))
+    notes = F.format_string("template=%s, trials=%d", origin, F.col("_layout.n_source_trials"))
     found = rows.filter(F.col("_layout").isNotNull())
     placed = found.select(*trials.columns, "_layout.objects", "_layout.gripper_init", notes.alias("notes"))
-    reason = F.concat(F.lit("no scene template for "), where, F.lit(" (and no difficulty fallback)"))
+    reason = F.format_string("no template: subject=%s, difficulty=%s", "subject", "difficulty")
     return placed, rows.filter(F.col("_layout").isNull()).select(*trials.columns, reason.alias("reason"))
 
 
@@ -222,15 +215,15 @@ def overlay_labels(scenarios: DataFrame, labels: DataFrame, row: str = "row") ->
     ids = placed.select("scenario_id", F.transform("objects", lambda o: o["id"]).alias("_ids"))
     checked = given.join(ids, "scenario_id", "left")
     reason = (
-        F.when(F.col("_ids").isNull(), "scenario not found")
-        .when(F.col("_bad"), "layout_override malformed")
-        .when((F.col("_target") != "") & ~F.array_contains("_ids", F.col("_target")), F.concat(F.lit("target "), "_target", F.lit(" not in objects")))
+        F.when(F.col("_ids").isNull(), "unknown scenario")
+        .when(F.col("_bad"), "layout not readable")
+        .when((F.col("_target") != "") & ~F.array_contains("_ids", F.col("_target")), F.concat(F.lit("unknown target "), "_target"))
     )
     checked = checked.withColumn("reason", reason)
     good = checked.filter(F.col("reason").isNull())
     aimed = F.col("_target") != ""
-    # notes of one scenario, as many as people wrote
-    said = F.filter(F.sort_array(F.collect_list(F.struct("_row", "_note"))), lambda x: x["_note"] != "")
+    # notes of one scenario, as many as people wrote; rows without one are not gathered
+    said = F.sort_array(F.collect_list(F.when(F.col("_note") != "", F.struct("_row", "_note"))))
     last = good.groupBy("scenario_id").agg(
         F.max_by(F.when(aimed, F.col("_target")), F.when(aimed, F.col("_row"))).alias("_target"),
         F.concat_ws(" | ", F.transform(said, lambda x: x["_note"])).alias("_said"),
@@ -247,37 +240,36 @@ def overlay_labels(scenarios: DataFrame, labels: DataFrame, row: str = "row") ->
     return merged, skipped
 
 
+def _known(value: Column, values: Sequence[str]) -> Column:
+    return F.coalesce(value.isin(*values), F.lit(False))
+
+
+def _scenario_rules() -> dict[str, Column]:
+    """Rule code to the number of its violations in a scenario."""
+    objects = F.coalesce("objects", F.array().cast(f"array<{SCENARIO_OBJECT}>"))
+    ids = F.transform(objects, lambda o: o["id"])
+    count = lambda test: F.when(test, 1).otherwise(0)
+    off = lambda field, values: F.size(F.filter(objects, lambda o: ~_known(o[field], values)))
+    target, labelled = F.col("target_obj_id"), F.coalesce(F.col("target_label_source") != "unlabeled", F.lit(True))
+    plausible = F.coalesce("plausible_target_ids", F.array().cast("array<string>"))
+    pose = {f"start.{f}": count(~_known(F.col(f"gripper_init.{f}"), v)) for f, v in (("cell", CELLS), ("yaw", YAW_BINS), ("z", Z_BINS))}
+    return pose | {
+        "layout.source": count(~_known(F.col("layout_source"), LAYOUT_SOURCES)),
+        "objects.cell": off("cell", CELLS),
+        "objects.few": count(F.size(objects) < 2),
+        "objects.repeated_id": F.size(ids) - F.size(F.array_distinct(ids)),
+        "objects.yaw": off("yaw", YAW_BINS),
+        "plausible.absent": F.size(F.array_except(plausible, ids)),
+        "target.absent": count(target.isNotNull() & ~F.coalesce(F.array_contains(ids, target), F.lit(False))),
+        "target.label": count(target.isNotNull() != labelled),
+        "target.source": count(~_known(F.col("target_label_source"), TARGET_SOURCES)),
+    }
+
+
 def scenario_violations(df: DataFrame) -> DataFrame:
-    """Add ``violations`` to scenarios (V4); an empty array is a valid scenario."""
-    ids = F.transform("objects", lambda o: o["id"])
-    fault = lambda test, words: F.when(F.coalesce(test, F.lit(True)), words if isinstance(words, Column) else F.lit(words))
-    in_set = lambda c, values: F.coalesce(c.isin(*values), F.lit(False))
-
-    def each(field: str, values: Sequence[str]) -> Column:
-        bad = F.filter("objects", lambda o: ~F.coalesce(F.array_contains(literal_array(values), o[field]), F.lit(False)))
-        return F.transform(bad, lambda o: F.concat(F.lit("object "), o["id"], F.lit(f" bad {field}")))
-
-    target, source = F.col("target_obj_id"), F.col("target_label_source")
-    n = F.coalesce(F.size("objects"), F.lit(0))
-    rules = F.array(
-        fault(n == 0, "no objects"),
-        fault(n < 2, F.concat(F.lit("need >=2 objects, have "), n.cast("string"))),
-        fault((n > 0) & (F.size(F.array_distinct(ids)) != n), "duplicate object ids"),
-        *[fault(~in_set(F.col(f"gripper_init.{f}"), v), f"gripper bad {f}") for f, v in (("cell", CELLS), ("yaw", YAW_BINS), ("z", Z_BINS))],
-        fault(target.isNotNull() & ~F.coalesce(F.array_contains(ids, target), F.lit(False)), "target not in objects"),
-        fault(~in_set(source, TARGET_SOURCES), "bad target_label_source"),
-        fault(target.isNull() != F.coalesce(source == "unlabeled", F.lit(False)), "target/source inconsistent"),
-        fault(~in_set(F.col("layout_source"), LAYOUT_SOURCES), "bad layout_source"),
-    )
-    strangers = F.filter(F.coalesce("plausible_target_ids", F.array().cast("array<string>")), lambda p: ~F.coalesce(F.array_contains(ids, p), F.lit(False)))
-    texts = F.array().cast("array<string>")
-    found = F.concat(
-        F.filter(rules, lambda r: r.isNotNull()),
-        F.coalesce(each("cell", CELLS), texts),
-        F.coalesce(each("yaw", YAW_BINS), texts),
-        F.transform(strangers, lambda p: F.concat(F.lit("plausible target "), p, F.lit(" not in objects"))),
-    )
-    return df.withColumn("violations", found)
+    """Add ``violations`` to scenarios (V4): the codes of broken rules, with the number of faults; none in a valid scenario."""
+    found = [F.when(n > 0, F.struct(F.lit(code).alias("rule"), n.cast("int").alias("faults"))) for code, n in _scenario_rules().items()]
+    return df.withColumn("violations", F.filter(F.array(*found), lambda v: v.isNotNull()))
 
 
 def scenarios_to_contract(df: DataFrame, user_mode: str = "translation", max_dist: int = 1, skip_unlabeled: bool = False, *, output: str | None = None, instruction: str = DEFAULT_INSTRUCTION) -> DataFrame:

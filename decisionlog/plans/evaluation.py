@@ -10,7 +10,7 @@ from decisionlog.operators import evaluate as E
 from decisionlog.operators import poses as P
 from decisionlog.operators import profile as R
 from decisionlog.operators import reannotate as A
-from decisionlog.operators.perturb import NoiseProfile, corrupt_commands
+from decisionlog.operators.perturb import corrupt_commands
 from decisionlog.operators.toolcalls import call_violations, read_call
 from decisionlog.operators.triage import parse_questions, triage_generations
 from decisionlog.plans import views as V
@@ -372,8 +372,7 @@ def _tok(salt: str) -> str:
     "commands",
 )
 def corrupted_commands(t):
-    profile = NoiseProfile("bench", p_dir=0.3, p_sel=0.25, p_drop=0.1, latency=True)
-    out = corrupt_commands(V.commands(t), profile, 11)
+    out = corrupt_commands(V.commands(t), (0.3, 0.25, 0.1, True), 11)
     return _rounded(out.select("event_id", "axis", "direction", "direction_perturbed", "dropped", "latency_sec", "reply_idx"))
 
 

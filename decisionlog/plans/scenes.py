@@ -440,7 +440,7 @@ def template_fallback(t):
     pooled = T.pooled_templates(deduped, poses, ["subject", "trial"], 0.05).filter("difficulty <> 'P'")
     trials = V.start_poses(t).select("trial", "subject", "difficulty")
     placed, dropped = T.inherit_layout(trials, own, pooled)
-    kind = F.when(F.startswith(F.col("notes"), F.lit("layout inherited")), "own").otherwise("pooled")
+    kind = F.when(F.startswith(F.col("notes"), F.lit("template=own")), "own").otherwise("pooled")
     rows = placed.select("subject", "difficulty", kind.alias("layout"), F.size("objects").alias("objects"))
     rows = rows.unionByName(dropped.select("subject", "difficulty", F.lit("dropped").alias("layout"), F.lit(0).alias("objects")))
     return rows.groupBy("subject", "difficulty", "layout", "objects").agg(F.count("*").alias("trials"))
@@ -479,14 +479,13 @@ def remapped_targets(t):
 
 
 @query(
-    """SELECT rule, COUNT(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN n < 2 THEN 'few objects' END, CASE WHEN id % 2 = 0 AND has = 0 THEN 'target not in objects' END], lambda x: x IS NOT NULL)) AS rule
+    """SELECT rule, COUNT(*) AS n, COUNT(*) AS faults FROM (SELECT unnest(list_filter([CASE WHEN n < 2 THEN 'objects.few' END, CASE WHEN id % 2 = 0 AND has = 0 THEN 'target.absent' END], lambda x: x IS NOT NULL)) AS rule
     FROM (SELECT h.id, COUNT(*) AS n, COUNT(*) FILTER (s.id = 'obj_' || (h.id % 9)) AS has FROM scene_heads h JOIN scene_rows s ON s.order_key = h.id GROUP BY h.id)) GROUP BY rule""",
     "scene_heads",
 )
 def scenario_rules(t):
-    rows = unfold(T.scenario_violations(V.scenarios(t)), "violations", "rule")
-    rule = F.when(F.startswith(F.col("rule"), F.lit("need")), "few objects").otherwise(F.regexp_replace("rule", r"target \S+ not", "target not"))
-    return rows.groupBy(rule.alias("rule")).agg(F.count("*").alias("n"))
+    rows = unfold(T.scenario_violations(V.scenarios(t)), "violations", "v")
+    return rows.groupBy("v.rule").agg(F.count("*").alias("n"), F.sum("v.faults").alias("faults"))
 
 
 @query(

@@ -6,7 +6,7 @@ holds the same views as SQL for the oracle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from decisionlog.functions.geometry import CELLS, YAW_BINS, literal_array
@@ -43,17 +43,6 @@ def event_order(width_seconds: int = 86_400) -> Order:
     return by_time("ts", "event_id", width_seconds=width_seconds)
 
 
-def all_cores(df: DataFrame) -> DataFrame:
-    """A small table spread over all cores ahead of heavy work per row.
-
-    A table with enough input partitions stays as it is, and so does a stream.
-    """
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def events(t: Tables) -> DataFrame:
     """Events with ``k`` (0..99) from their properties and the stamp in seconds."""
     e = t.events
@@ -69,7 +58,7 @@ def logged_calls(t: Tables) -> DataFrame:
 
     Answers are right, wrong, mis-spelled, wrapped in chatter, cut short or no object at all, by ``k``.
     """
-    e = all_cores(events(t))
+    e = events(t)
     k, kind = F.col("k"), F.col("event_type")
     ask = F.concat(F.lit('{"tool":"INTERACT","args":{"kind":"QUESTION","text":"'), k.cast("string"), F.lit('","choices":["1) YES","2) NO"]}}'))
     obj = k % 5
@@ -185,18 +174,16 @@ def examples(t: Tables) -> DataFrame:
 
 
 def scene_rows(t: Tables) -> DataFrame:
-    """Objects of each order's scene, one row each: at most eight slots per order, the first line item in each."""
-    x = t.lineitem.withColumn("slot", F.col("l_linenumber") % 8)
-    first = F.min(F.struct("l_partkey", "l_suppkey", "l_returnflag")).alias("_f")
-    rows = x.groupBy("l_orderkey", "slot").agg(first)
-    return rows.select(
+    """Objects of each order's scene: every line item, numbered along the whole order (an order has a few)."""
+    along = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
+    return t.lineitem.withColumn("slot", F.row_number().over(along) - 1).select(
         F.col("l_orderkey").alias("order_key"),
         "slot",
         F.concat(F.lit("obj_"), F.col("slot").cast("string")).alias("id"),
-        slot(OBJECT_LABELS, F.col("_f.l_suppkey")).alias("label"),
-        slot(CELLS, F.col("_f.l_partkey")).alias("cell"),
-        slot(YAW_BINS, F.col("_f.l_partkey")).alias("yaw"),
-        ((F.col("_f.l_returnflag") == "R") & (F.col("slot") == 1)).alias("is_held"),
+        slot(OBJECT_LABELS, F.col("l_suppkey")).alias("label"),
+        slot(CELLS, F.col("l_partkey")).alias("cell"),
+        slot(YAW_BINS, F.col("l_partkey")).alias("yaw"),
+        ((F.col("l_returnflag") == "R") & (F.col("slot") == 1)).alias("is_held"),
     )
 
 
@@ -413,8 +400,8 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "scene_rows": (
         (),
         f"""SELECT l_orderkey AS order_key, slot, 'obj_' || slot AS id, {sql_slot(OBJECT_LABELS, 'l_suppkey')} AS label,
-        l_partkey % 9 AS ci, l_partkey % 8 AS yi, l_returnflag = 'R' AND slot = 1 AS is_held FROM (SELECT *, l_linenumber % 8 AS slot,
-        row_number() OVER (PARTITION BY l_orderkey, l_linenumber % 8 ORDER BY l_partkey, l_suppkey, l_returnflag) AS rn FROM lineitem) WHERE rn = 1""",
+        l_partkey % 9 AS ci, l_partkey % 8 AS yi, l_returnflag = 'R' AND slot = 1 AS is_held FROM (SELECT *,
+        row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag) - 1 AS slot FROM lineitem)""",
     ),
     "scene_heads": (
         ("scene_rows",),

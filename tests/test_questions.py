@@ -155,7 +155,7 @@ def test_stats_and_histogram(spark):
 def test_dedup_and_log(spark):
     df = table(spark, [(THREE, ["o0", "o1"], [], "", []), (THREE, ["o1", "o0"], [], "x", []), (THREE, ["o1"], ["o0"], "", [])])
     kept = Q.dedup_states(df, by_number("id")).orderBy("id").collect()
-    assert [r.id for r in kept] == [0, 2] and len(kept[0].state_hash) == 16
+    assert [r.id for r in kept] == [0, 2] and len(kept[0].state_hash) == 64
     cands = spark.createDataFrame([(1, 0, ("QUESTION", "a", ["x", "y"])), (1, 1, ("question", "b", ["y", "x"])), (1, 2, ("CONFIRM", "b", ["y", "x"]))], "k int, sample_idx int, question struct<kind:string,text:string,choices:array<string>>")
     assert sorted(r.sample_idx for r in Q.distinct_questions(cands, ["k"]).collect()) == [0, 2]
     contract = Q.score_contract_ig(table(spark, [(THREE, ["o0", "o1", "o2"], [], "which?", MENU)])).first()
