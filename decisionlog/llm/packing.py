@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from decisionlog.llm.substrings import BUCKET, bucketed
 
 LENGTH = 2048
-CACHE = 300_000
+CACHE = 200_000
 DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: fixed value: the word pattern that belongs to this vocabulary
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"

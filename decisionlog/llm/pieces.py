@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BEST = 4
-CACHE = 300_000
+CACHE = 200_000
 MARK = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _WORD = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")

@@ -104,12 +104,12 @@ def base_rules() -> list[Rule]:
 
 
 def more_rules() -> list[Rule]:
-    """Layout rules: loose enough for any prose with white space between words."""
+    """Layout rules: loose enough for any prose with white space between words; a repeated head or foot line is no fault."""
     return [
         Rule("symbols", lambda t: 10 * n_symbols(t) > n_words(t)),
         Rule("short_words", lambda t: word_chars(t) < 2 * n_words(t)),
         Rule("long_words", lambda t: word_chars(t) > 15 * n_words(t)),
-        Rule("dup_lines", lambda t: 100 * n_dup_lines(t) > 30 * n_lines(t)),
+        Rule("dup_lines", lambda t: (n_dup_lines(t) > 2) & (100 * n_dup_lines(t) > 30 * n_lines(t))),
     ]
 
 

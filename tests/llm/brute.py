@@ -106,5 +106,5 @@ def quality(text):
     repeat = {k + j for ks in at.values() if len(ks) > 1 for k in ks for j in range(5)}
     chars, symbols, dup = sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines))
     bad = len(w) < 10 or 100 * len(repeat) > 20 * len(w)
-    more = 10 * symbols > len(w) or chars < 2 * len(w) or chars > 15 * len(w) or 100 * dup > 30 * len(lines)
+    more = 10 * symbols > len(w) or chars < 2 * len(w) or chars > 15 * len(w) or (dup > 2 and 100 * dup > 30 * len(lines))
     return len(w), chars, symbols, dup, len(repeat), not (bad or more)
