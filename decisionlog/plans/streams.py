@@ -15,21 +15,39 @@ from decisionlog.streaming import jobs as J
 
 
 def shared_folder(spark) -> str:
-    """A new folder below the cluster's shared checkpoint directory; a local one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="decisionlog-")
+    """A new folder below the shared checkpoint directory; a folder of this machine only under a local master."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        base = tempfile.mkdtemp(prefix="decisionlog-")
     return f"{base.rstrip('/')}/decisionlog-{uuid.uuid4().hex}"
 
 
+FILES_PER_BATCH = 1_000
+
+
 class _Stream(V.Tables):
     """The tables with ``events`` as a stream, its time as an event time."""
 
     @property
     def events(self):
         schema = self.spark.read.parquet(f"{self.directory}/events.parquet").schema
-        rows = J.tail(self.spark, self.directory, schema, "parquet", glob="events.parquet")
+        # a table is a folder of part files, or one file in the tables' folder; a few files make a batch
+        path = f"{self.directory}/events.parquet"
+        if self._is_folder(path):
+            rows = J.tail(self.spark, path, schema, "parquet", files_per_batch=FILES_PER_BATCH)
+        else:
+            rows = J.tail(self.spark, self.directory, schema, "parquet", glob="events.parquet")
         return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+    def _is_folder(self, path: str) -> bool:
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        return place.getFileSystem(conf).getFileStatus(place).isDirectory()
+
+
 def _finish(query) -> None:
     query.awaitTermination()
 

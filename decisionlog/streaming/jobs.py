@@ -51,12 +51,13 @@ def activity_sessions(s: DataFrame, gap: str = "30 seconds", watermark: str = "1
 def running_accuracy(truth: DataFrame, answers: DataFrame, score: Callable[[DataFrame], DataFrame], *, key: str = "id", ts: str = "ts", watermark: str = "1 hour", window: str = "1 day", keys: Sequence[str] = ()) -> DataFrame:
     """Counters per event-time window of ground truth joined with predictions arriving on their own stream.
 
-    A prediction may lie up to one watermark before or after its ground truth; both sides' state is dropped beyond.
+    A prediction may lie up to one watermark before or after its ground truth; both sides' state is dropped beyond. A ground
+    truth that nobody answered in that time counts as missing.
     """
     a = truth.withWatermark(ts, watermark)
     b = answers.select(F.col(key).alias("_key"), F.col(ts).alias("_ts"), *[c for c in answers.columns if c not in (key, ts)]).withWatermark("_ts", watermark)
     near = (F.col("_ts") >= F.col(ts) - F.expr(f"interval {watermark}")) & (F.col("_ts") <= F.col(ts) + F.expr(f"interval {watermark}"))
-    both = a.join(b, (F.col(key) == F.col("_key")) & near).drop("_key", "_ts")
+    both = a.join(b, (F.col(key) == F.col("_key")) & near, "left_outer").drop("_key", "_ts")
     scored = score(both).groupBy(*keys, F.window(ts, window).alias("_w")).agg(*[F.sum(c).alias(c) for c in COUNTERS])
     return scored.select(*keys, F.col("_w.start").alias("window_start"), *COUNTERS)
 

@@ -41,3 +41,12 @@ def test_against_oracle(spark, db, name):
     got = rows_of(df.columns, [tuple(r) for r in df.collect()])
     cursor = db.execute(entry.oracle_sql()[name])
     assert got == rows_of([d[0] for d in cursor.description], cursor.fetchall())
+
+
+def test_scenes_hold_every_line_item(spark):
+    from pyspark.sql import functions as F
+
+    from decisionlog.plans import views as V
+
+    t = V.Tables(spark, DATA)
+    assert V.scenes(t).agg(F.sum(F.size("obs.objects"))).first()[0] == t.lineitem.count()

@@ -100,3 +100,13 @@ def test_repeats(case):
             best = max(best, run)
         want[key] = (len(values), best, dups)
     assert got == want
+
+
+def test_null_keys(spark):
+    from decisionlog.operators.ordered import by_number, position, previous
+
+    df = spark.createDataFrame([(None if i < 20 else "k", i) for i in range(30)], "key string, seq int")
+    order = by_number("seq", size=5)
+    assert sorted(r.at for r in position(df, ["key"], order, "at").filter("key is null").collect()) == list(range(1, 21))
+    back = {r.seq: r.old for r in previous(df, ["key"], order, {"old": "seq"}).collect()}
+    assert back == {i: None if i in (0, 20) else i - 1 for i in range(30)}

@@ -87,3 +87,20 @@ def test_mixture_golden(spark):
     got = {r.tool: r["count"] for r in out.groupBy("tool").count().collect()}
     assert got == {"INTERACT": 2640, "APPROACH": 320, "ALIGN_YAW": 160, "STACK": 320, "GRAB": 320, "POUR": 160}
     assert sum(got.values()) == 3920 and out.select("id").distinct().count() == 3920
+
+
+def test_null_strata_keep_their_rows(spark):
+    rows = [(f"r{i}", None if i % 10 == 0 else "a") for i in range(100)]
+    out = G.split_by_source(spark.createDataFrame(rows, "id string, source string"), 0.2, 1)
+    got = {(r.source, r.split): r["count"] for r in out.groupBy("source", "split").count().collect()}
+    assert got == {("a", "valid"): 18, ("a", "train"): 72, (None, "valid"): 2, (None, "train"): 8}
+
+
+def test_whole_table_splits_have_no_cross_join(spark, table):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for out in (G.auto_split(table), G.uniform_sample(table, 50)):
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

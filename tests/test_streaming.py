@@ -9,7 +9,18 @@ from decisionlog.operators import commands as C
 from decisionlog.operators.ordered import by_number
 from decisionlog.operators.poses import decision_points
 from decisionlog.streaming import jobs as J
-from tests.test_trials import COMMANDS, random_events
+from tests.test_trials import COMMANDS
+
+
+def random_events(rng, n):
+    """Commands of all kinds, with small steps, long pauses and stamps that go back."""
+    stamps, out = 0.0, []
+    for _ in range(n):
+        stamps += rng.choice([0.25, 0.5, 1.0, 20.0, -0.5])
+        kind = rng.choice(["cartesian_velocity"] * 3 + ["stop"] * 2 + ["gripper", "mode_change"])
+        mode, axis = rng.choice(["translation", "rotation", None, "x"]), rng.choice(["x", "y", None])
+        out.append((kind, mode, axis, rng.choice([-1, 0, 1, None]), rng.choice([True, True, False]), rng.choice(["release", "other"]), stamps))
+    return out
 
 
 def in_files(spark, tmp_path, df, order, n=4):
