@@ -133,7 +133,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     out = docs.withColumns({"__words": F.lit(0).cast("bigint"), "__spans": F.array().cast(_SPANS), "__items": F.array().cast("array<string>")})
     context = docs.sparkSession.sparkContext
     for k in range(slices):
-        rows = grams.filter(F.pmod("hash", F.lit(slices)) == k).collect()  # at most about SLICE_WINDOWS rows
+        # at most about SLICE_WINDOWS rows, also where many items share a window
+        rows = grams.filter(F.pmod(F.xxhash64("hash", "item"), F.lit(slices)) == k).collect()
         out = _scan(out, text_col, context.broadcast(_lookup(rows)))
         out = stored(out) if k + 1 < slices else out
     return out
