@@ -20,10 +20,16 @@ def read_cells(spark: SparkSession, path: str) -> DataFrame:
     return rows.filter(F.col("_corrupt").isNull()).drop("_corrupt")
 
 
-def read_csv(spark: SparkSession, path: str, schema: str, *, row: str | None = None) -> DataFrame:
-    """A CSV file with a header under a fixed schema (S8). ``row`` adds a number rising in file order."""
-    rows = spark.read.option("header", "true").option("enforceSchema", "false").option("multiLine", "true").schema(schema).csv(path)
-    return rows.withColumn(row, F.monotonically_increasing_id()) if row else rows
+def read_csv(spark: SparkSession, path: str, schema: str, *, row: str | None = None, multiline: bool = True) -> DataFrame:
+    """CSV files with a header under a fixed schema.
+
+    ``row`` adds a place that rises in file order, also over several files or blocks of one. ``multiline`` allows line breaks
+    inside quotes; without it, large files are read in blocks by many tasks.
+    """
+    reader = spark.read.option("header", "true").option("enforceSchema", "false").option("multiLine", str(multiline).lower())
+    rows = reader.schema(schema).csv(path)
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    return rows.withColumn(row, place) if row else rows
 
 
 def context_table(breakdown: DataFrame, contexts: Sequence[str], model: str = "model") -> DataFrame:

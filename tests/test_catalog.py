@@ -13,6 +13,7 @@ SPREAD = [
     "accuracy_report", "tool_confusion", "breakdown_sets", "generation_triage", "longest_runs", "decision_points", "episode_slice", "user_priors",
     "oscillation_flags", "distribution_similarity", "rebalance", "stratified_split", "quota_split", "cohen_kappa", "condition_summary", "policy_bayes",
     "question_ig", "layout_templates", "label_overlay", "path_lengths", "perturb_poses", "dialog_flipflops", "stream_decision_points",
+    "jsonl_lenient", "contract_source", "scenario_round_trip", "csv_source", "append_twice", "metric_scrape", "contract_formats", "quantised_poses",
 ]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="benchmark tables are absent")
