@@ -180,7 +180,7 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                     column[row] = text
                 columns = list(batch.columns)
                 columns[at] = pa.array(column, batch.column(at).type)
-                batch = pa.RecordBatch.from_arrays(columns, names)
+                batch = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
             yield batch.filter(pa.array(keep))
 
     return found.mapInArrow(cut, found.schema).select(*docs.columns)

@@ -248,7 +248,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             column = rows.column(text_col).to_pylist()
             for row, text in texts.items():
                 column[row] = text
-            rows = rows.set_column(names.index(text_col), text_col, pa.array(column, rows.schema.field(text_col).type))
+            rows = rows.set_column(names.index(text_col), rows.schema.field(text_col), pa.array(column, rows.schema.field(text_col).type))
         return rows.filter(pa.array(keep))
 
     answers = repeats(dealt, id_col, text_col, width)

@@ -166,6 +166,18 @@ def test_leaks_in_slices(spark, docs, texts, monkeypatch):
     assert sorted(map(tuple, decontaminate.leak_report(docs, benchmark).collect())) == whole
 
 
+def test_texts_cut_in_some_batches_only(spark, docs, texts):
+    """Partitions of several batches, of which some are left as they are."""
+    benchmark = spark.createDataFrame([(3, texts[4][:120])], "item_id long, text string")
+    one = docs.coalesce(1)
+    want = [sorted(map(tuple, f.collect()), key=str) for f in (decontaminate.remove_leaks(one, benchmark), substrings.remove_repeats(one))]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        assert [sorted(map(tuple, f.collect()), key=str) for f in (decontaminate.remove_leaks(one, benchmark), substrings.remove_repeats(one))] == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_quality(spark, docs, odd, texts):
     got = {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.kept) for r in quality.report(docs).collect()}
     want = {i: brute.quality(t) for i, t in texts.items()}
