@@ -264,6 +264,76 @@ def unified_turns(t):
     return rows.groupBy("conv_id").agg(F.sum("n").alias("unified"))
 
 
+# ---- dialogues and pages as they stand; the queries above read words chosen by the length of a text
+
+
+_FLIPS_SQL = """SELECT conv_id, CAST(SUM(CASE WHEN r0 = 'user' AND r1 = 'assistant' AND r2 = 'user' AND r3 = 'assistant' AND trim(c1, {space}) = trim(c3, {space})
+    AND ((upper(trim(c0, {space})) = 'YES' AND upper(trim(c2, {space})) = 'NO') OR (upper(trim(c0, {space})) = 'NO' AND upper(trim(c2, {space})) = 'YES')) THEN 1 ELSE 0 END) AS BIGINT) AS flip_flops FROM (
+    SELECT conv_id, role AS r0, content AS c0, lag(role, 1) OVER w AS r1, lag(content, 1) OVER w AS c1, lag(role, 2) OVER w AS r2, lag(content, 2) OVER w AS c2,
+    lag(role, 3) OVER w AS r3, lag(content, 3) OVER w AS c3 FROM said WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) GROUP BY conv_id"""
+_SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_REPLIES = "replies AS (SELECT context, upper(content) AS u, upper(trim(content, {})) AS word, content FROM said WHERE role = 'user')".format(_SPACE)
+
+
+@query(_FLIPS_SQL.format(space=_SPACE), "said")
+def said_flipflops(t):
+    return R.flip_flops(V.said(t), "conv_id", V.turn_order())
+
+
+def _with_texts(rows, counts):
+    """Counts per context beside a checksum of the texts they were taken from."""
+    return counts.join(rows.groupBy("context").agg(checksum("content")), "context")
+
+
+@query(
+    f"SELECT context, COUNT(*) AS replies, {', '.join(_SAID.format(f"word = '{w}'", n) for n, w in (('yes', 'YES'), ('no', 'NO'), ('none_of_them', 'NONE OF THEM'), ('mode_approach', 'APPROACH'), ('mode_align_yaw', 'ALIGN_YAW')))},"
+    f" {sql_checksum('content')} FROM (WITH {_REPLIES} SELECT * FROM replies) GROUP BY context",
+    "said",
+)
+def said_replies(t):
+    v = V.said(t)
+    return _with_texts(v.filter("role = 'user'"), R.reply_distribution(v))
+
+
+@query(
+    f"SELECT context, {', '.join(_SAID.format(f"contains(u, '{w}')", n) for n, w in (('yes', 'YES'), ('no', 'NO'), ('none_of_them', 'NONE'), ('ok', 'OK')))},"
+    f" {sql_checksum('content')} FROM (WITH {_REPLIES} SELECT * FROM replies) GROUP BY context",
+    "said",
+)
+def said_keywords(t):
+    rows = V.said(t).filter("role = 'user'")
+    return _with_texts(rows, R.reply_keywords(rows, "content", ["context"]))
+
+
+@query(
+    f"""SELECT conv_id, COUNT(*) AS unified, {sql_checksum("role || ':' || content")} FROM said WHERE content IS NOT NULL GROUP BY conv_id""",
+    "said",
+)
+def said_unified(t):
+    """What the assistant says is a prompt, its reply the user's own turn."""
+    asked = F.col("role") == "assistant"
+    none = F.lit(None).cast("string")
+    turn = F.struct(
+        F.when(asked, none).otherwise(F.col("role")).alias("role"),
+        F.when(asked, none).otherwise(F.col("content")).alias("content"),
+        F.when(asked, F.col("content")).alias("prompt"),
+        none.alias("reply"),
+    )
+    rows = V.said(t).select("conv_id", F.explode(C.unify_dialogs(F.array(turn))).alias("_t"))
+    return rows.select("conv_id", F.concat_ws(":", "_t.role", "_t.content").alias("said")).groupBy("conv_id").agg(F.count("*").alias("unified"), checksum("said"))
+
+
+@query(
+    f"""SELECT violation, COUNT(*) AS n, {sql_checksum('o')} FROM (SELECT o, CASE WHEN o IS NULL THEN 'missing output' WHEN NOT json_valid(o) THEN 'output is not JSON' ELSE 'ok' END AS violation
+    FROM (SELECT html AS o FROM pages)) GROUP BY violation"""
+)
+def page_contract(t):
+    rows = t.pages.select(F.col("page_id").cast("string").alias("id"), F.lit("i").alias("instruction"), F.coalesce("url", F.lit("")).alias("input"), F.col("html").alias("output"))
+    ok, bad = C.validate_contract(rows)
+    found = bad.select(F.explode("violations").alias("violation"), "output").unionByName(ok.select(F.lit("ok").alias("violation"), "output"))
+    return found.groupBy("violation").agg(_count(), checksum("output"))
+
+
 # ---- ratings
 
 

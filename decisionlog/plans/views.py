@@ -270,6 +270,12 @@ def turns(t: Tables) -> DataFrame:
     return c.select("conv_id", "turn", "role", "text", said.alias("content"), slot(("confirm", "help", "candidate_choice"), F.col("turn")).alias("context"))
 
 
+def said(t: Tables) -> DataFrame:
+    """Dialogue turns with what was said as it stands."""
+    c = t.conversations
+    return c.select("conv_id", "turn", "role", F.col("text").alias("content"), slot(("confirm", "help", "candidate_choice"), F.col("turn")).alias("context"))
+
+
 def turn_order() -> Order:
     return by_number("turn", size=1_000_000)
 
@@ -446,6 +452,10 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         CASE WHEN role = 'user' THEN CASE WHEN length(text) % 7 = 0 THEN {sql_slot(('YES', 'NO', 'None of them', 'ok', 'APPROACH'), 'length(text)')}
           WHEN length(text) % 2 = 0 THEN 'yes' ELSE ' no' END ELSE 'p' || (length(text) % 2) END AS content FROM conversations""",
     ),
+    "said": (
+        (),
+        f"""SELECT conv_id, turn, role, text AS content, {sql_slot(('confirm', 'help', 'candidate_choice'), 'turn')} AS context FROM conversations""",
+    ),
     "ratings": (
         (),
         "SELECT doc_id, quality AS a, toxic AS b, CAST(n_chars % 2 AS INT) AS c FROM labels JOIN documents USING (doc_id)",
