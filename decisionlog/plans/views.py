@@ -23,6 +23,8 @@ ENV_BY_FLAG = {"R": "reach_to_grasp_ycb", "A": "cube_stacking", "N": "pouring"}
 class Tables:
     """The benchmark tables of one directory."""
 
+    furnished = False
+
     def __init__(self, spark: SparkSession, directory: str):
         self.spark, self.directory = spark, directory
 
@@ -30,6 +32,12 @@ class Tables:
         return self.spark.read.parquet(f"{self.directory}/{name}.parquet")
 
 
+class Furnished(Tables):
+    """The same where scenes are of orders with line items only, as some of the oracle SQL has them."""
+
+    furnished = True
+
+
 def lookup(table: dict[str, str], key: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key)
 
@@ -188,7 +196,7 @@ def scene_rows(t: Tables) -> DataFrame:
 
 
 def scenes(t: Tables) -> DataFrame:
-    """One observation per order: its scene, six poses, candidates within two steps, excluded ids and user mode."""
+    """One observation per order: its scene, empty without line items, six poses, candidates within two steps, excluded ids and user mode."""
     item = F.struct("id", "label", "cell", "yaw", "is_held")
     objects = scene_rows(t).groupBy("order_key").agg(F.array_sort(F.collect_list(F.struct("slot", item.alias("o")))).alias("_o"))
     objects = objects.select("order_key", F.transform("_o", lambda x: x["o"]).alias("objects"))
@@ -197,7 +205,9 @@ def scenes(t: Tables) -> DataFrame:
     )
     c, k = F.col("customer"), F.col("order_key")
     pose = lambda i: F.struct(slot(CELLS, c + i * (k % 4)).alias("cell"), slot(YAW_BINS, c + i).alias("yaw"), slot(("HIGH", "MID", "LOW"), k).alias("z"))
-    rows = o.join(objects, "order_key").withColumn("gripper_hist", F.array(*[pose(i) for i in range(6)]))
+    rows = o.join(objects, "order_key", "inner" if t.furnished else "left")
+    rows = rows.withColumn("objects", F.coalesce("objects", F.array().cast(objects.schema["objects"].dataType)))
+    rows = rows.withColumn("gripper_hist", F.array(*[pose(i) for i in range(6)]))
     gone = F.when(k % 5 == 0, F.array(F.lit("obj_1"))).otherwise(F.array().cast("array<string>"))
     near = near_candidates(F.col("objects"), F.get("gripper_hist", F.lit(5))["cell"], 2)
     mode = F.when(F.col("status") == "F", "translation").when(F.col("status") == "O", "rotation").otherwise("gripper")
