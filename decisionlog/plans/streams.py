@@ -48,6 +48,14 @@ class _Stream(V.Tables):
         return place.getFileSystem(conf).getFileStatus(place).isDirectory()
 
 
+class _Log(V.Tables):
+    """The tables with ``events`` as the stream has them, read at once."""
+
+    @property
+    def events(self):
+        return self.spark.read.parquet(f"{self.directory}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def _finish(query) -> None:
     query.awaitTermination()
 
@@ -124,6 +132,51 @@ def stream_accuracy(t):
     return rows.select(F.unix_seconds("window_start").alias("starts"), "n", "tool_correct", "json_errors")
 
 
+# ---- the same with what is open when the log ends
+
+
+def _completed(t, job, **how):
+    return J.completed(_stored(t, job(_Stream(t.spark, t.directory).events)), _Log(t.spark, t.directory).events, job, **how)
+
+
+@query("SELECT user_id, CAST(epoch_us(ts) // 1000000 // 86400 * 86400 AS BIGINT) AS starts, COUNT(*) AS commands FROM events GROUP BY 1, 2")
+def stream_windows_whole(t):
+    rows = _completed(t, lambda s: J.command_rates(s, "1 day"))
+    return rows.select("user_id", F.unix_seconds("window_start").alias("starts"), "commands")
+
+
+@query(
+    """SELECT user_id, starts, COUNT(*) AS commands FROM (SELECT user_id, unnest([CAST(s AS BIGINT) // 43200 * 43200, CAST(s AS BIGINT) // 43200 * 43200 - 43200]) AS starts
+    FROM (SELECT user_id, epoch_us(ts) // 1000000 AS s FROM events)) GROUP BY user_id, starts"""
+)
+def stream_sliding_windows_whole(t):
+    rows = _completed(t, lambda s: J.command_rates(s, "1 day", "12 hours"))
+    return rows.select("user_id", F.unix_seconds("window_start").alias("starts"), "commands")
+
+
+@query(
+    """SELECT user_id, MIN(us) AS starts, COUNT(*) AS commands FROM (SELECT *, SUM(brk) OVER (PARTITION BY user_id ORDER BY us, event_id) AS s FROM (
+    SELECT user_id, event_id, epoch_us(ts) AS us, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) < 21600000000 THEN 0 ELSE 1 END AS brk FROM events))
+    GROUP BY user_id, s"""
+)
+def stream_sessions_whole(t):
+    rows = _completed(t, lambda s: J.activity_sessions(s, "6 hours"), start="session_start")
+    return rows.select("user_id", F.unix_micros("session_start").alias("starts"), "commands")
+
+
+@query(
+    "SELECT CAST(epoch_us(ts) // 1000000 // 86400 * 86400 AS BIGINT) AS starts, COUNT(*) AS n, CAST(SUM(tool_correct) AS BIGINT) AS tool_correct, CAST(SUM(json_errors) AS BIGINT) AS json_errors FROM scored GROUP BY 1",
+    "scored",
+)
+def stream_accuracy_whole(t):
+    calls, log = V.logged_calls(_Stream(t.spark, t.directory)), V.logged_calls(_Log(t.spark, t.directory))
+    again = V.logged_calls(_Stream(t.spark, t.directory)).select("id", "ts", "raw")
+    rows = _stored(t, J.running_accuracy(calls.select("id", "ts", "output"), again, score))
+    # only the ground truth is cut; answers may lie before the window
+    rows = J.completed(rows, log.select("id", "ts", "output"), lambda s: J.running_accuracy(s, log.select("id", "ts", "raw"), score), keys=())
+    return rows.select(F.unix_seconds("window_start").alias("starts"), "n", "tool_correct", "json_errors")
+
+
 @query("SELECT CASE WHEN event_type = 'error' AND k % 3 = 0 THEN 'bad' ELSE 'good' END AS gate, COUNT(*) AS n FROM ev GROUP BY 1", "ev")
 def stream_gate(t):
     folder = shared_folder(t.spark)

@@ -198,6 +198,21 @@ def read_user_priors(spark: SparkSession, out: str, trial: Sequence[str]) -> Dat
     return C.priors_from_totals([rows.drop("batch", "first_stamp", "last_stamp"), spans], trial)
 
 
+def completed(written: DataFrame, log: DataFrame, job: Callable[[DataFrame], DataFrame], *, keys: Sequence[str] = ("user_id",), start: str = "window_start", ts: str = "ts") -> DataFrame:
+    """What a windowed stream wrote, with the windows or sessions that were still open when it ended.
+
+    ``job`` runs as its batch twin over the log's rows from each key's last written window on; a key without one is read whole.
+    """
+    last = written.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.max(start).alias("_last"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys] or [F.lit(True)]
+
+    def after(rows: DataFrame, keep) -> DataFrame:
+        return rows.join(last, same, "left").filter(F.col("_last").isNull() | keep).select(*rows.columns)
+
+    rest = after(job(after(log, F.col(ts) >= F.col("_last"))), F.col(start) > F.col("_last"))
+    return written.unionByName(rest.select(*written.columns))
+
+
 def write_stream(s: DataFrame, out: str, checkpoint: str, *, trigger: dict | None = None) -> StreamingQuery:
     """A windowed stream to Parquet in append mode."""
     sink = s.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append")
