@@ -6,6 +6,7 @@ each hit is then verified word by word. The set is broadcast in slices of at mos
 scanned slice by slice, so what is broadcast has a bound and nothing is left out.
 
 Null and empty texts have no words and no hits; items without words match nothing; repeated items and documents count each for itself.
+Items without an id hit words like any other: together they are one more item in a document's ``n_items``, without a name in ``items_sha256``.
 Texts of any length are scanned whole.
 """
 
@@ -51,15 +52,15 @@ def test_grams(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "t
                 columns = [list(c) for c in zip(*out, strict=True)] if out else [[], [], [], []]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.binary(), pa.int64()), strict=True)], ["item", "words", "gram", "hash"])
 
-    return benchmark.select(F.col(id_col).cast("string"), F.col(text_col)).mapInArrow(cut, _GRAM).filter("item is not null").distinct()
+    return benchmark.select(F.col(id_col).cast("string"), F.col(text_col)).mapInArrow(cut, _GRAM).distinct()
 
 
-Grams = tuple[dict[bytes, list[str]], dict[int, tuple[np.ndarray, np.ndarray]]]
+Grams = tuple[dict[bytes, list[str | None]], dict[int, tuple[np.ndarray, np.ndarray]]]
 
 
 def _lookup(rows) -> Grams:
     """A slice of the test windows: items by window, and by number of words the sorted hashes with a bit table before them."""
-    items: dict[bytes, list[str]] = {}
+    items: dict[bytes, list[str | None]] = {}
     by_size: dict[int, set[int]] = {}
     for row in rows:
         items.setdefault(bytes(row.gram), []).append(row.item)
@@ -73,7 +74,7 @@ def _lookup(rows) -> Grams:
     return items, sizes
 
 
-def _hits(words: Words, grams: Grams) -> list[tuple[int, int, int, list[str]]]:
+def _hits(words: Words, grams: Grams) -> list[tuple[int, int, int, list[str | None]]]:
     """Verified (row, first word, number of words, items)."""
     (texts, sizes), hashes, out = grams, words.hashes(), []
     for size, (known, seen) in sizes.items():
@@ -109,13 +110,17 @@ def _scan(df: DataFrame, text_col: str, held: Broadcast) -> DataFrame:
                     items[i + row].extend(found)
             columns = list(batch.columns)
             columns[spans_at] = pa.array([_merged(s) for s in spans], batch.column(spans_at).type)
-            columns[items_at] = pa.array([sorted(set(x)) for x in items], batch.column(items_at).type)
+            columns[items_at] = pa.array([sorted(set(x), key=_by_name) for x in items], batch.column(items_at).type)
             columns[names.index("__words")] = pa.array(np.concatenate(counts) if counts else [], pa.int64())
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return df.mapInArrow(scan, df.schema)
 
 
+def _by_name(item: str | None) -> tuple[bool, str]:
+    return item is None, item or ""
+
+
 def _merged(spans: list[dict]) -> list[dict]:
     out: list[dict] = []
     for s in sorted(spans, key=lambda s: s["first"]):

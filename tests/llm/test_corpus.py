@@ -5,6 +5,7 @@ import hashlib
 import random
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -159,6 +160,22 @@ def test_leaks(spark, docs, odd, texts):
     assert decontaminate.leak_report(docs, benchmark.limit(0)).filter("contaminated").count() == 0
 
 
+def test_leaks_of_items_without_id(spark, docs, texts):
+    benchmark = spark.createDataFrame([(None, texts[10]), (None, texts[4]), ("i1", texts[4]), (None, None)], "item_id string, text string")
+    got = {r.doc_id: r for r in decontaminate.leak_report(docs, benchmark).collect()}
+    named, none = hashlib.sha256(b"i1").hexdigest(), hashlib.sha256(b"").hexdigest()
+    assert (got[10].n_items, got[10].items_sha256, got[10].contaminated, got[10].n_hit) == (1, none, True, got[10].n_words)
+    assert (got[4].n_items, got[4].items_sha256, got[4].contaminated) == (2, named, True)
+    left = {r.doc_id for r in decontaminate.remove_leaks(docs, benchmark).collect()}
+    assert left.isdisjoint({4, 10})
+
+    db = duckdb.connect()
+    text = "NULL" if texts[10] is None else "'" + texts[10].replace("'", "''") + "'"
+    db.execute(f"create table documents as select 10 as doc_id, {text} as text")
+    db.execute("create table benchmark as select CAST(NULL AS VARCHAR) as item_id, text from documents")
+    assert db.execute(queries.OP8_SQL).fetchall() == [tuple(decontaminate.leak_report(docs.filter("doc_id = 10"), benchmark.limit(1)).first())]
+
+
 def test_leaks_in_slices(spark, docs, texts, monkeypatch):
     benchmark = spark.createDataFrame([(1, texts[4]), (2, texts[10])], "item_id long, text string")
     whole = sorted(map(tuple, decontaminate.leak_report(docs, benchmark).collect()))
