@@ -1,9 +1,11 @@
-"""Long repeated byte strings, found with a logarithmic family of sparse suffix arrays and removed exactly.
+"""Long repeated byte strings, found through a logarithmic family of anchor indexes and removed exactly.
 
 Index. Of every ``width``-byte window the suffix at its smallest hashed ``GRAM``-byte gram is indexed; equal windows choose the same place,
-so every repeat of ``width`` bytes is found through a suffix both copies index, at about one suffix in 170 bytes. A batch's suffixes are
-sorted by their leading bytes into an array per range (levels are stored tables). A new batch is merge-scanned against each existing
-level: equal neighbours are suffixes with a long common prefix. Then levels of equal size merge, as in a binary counter, so a suffix is
+so every repeat of ``width`` bytes is found through a place both copies index, at about one in 170 bytes. These are no suffix arrays: an
+entry is the hash of the gram, its four leading bytes, a bucket and a flag, without a text position; it is dealt to a range by the
+hash, and beyond four bytes the order is that of hashes. An exact repeat needs equal anchors only, not their neighbours in suffix order, and
+hashes spread a much repeated beginning over the ranges, which a cut by prefix cannot. A new batch is looked up in each existing level
+(stored tables) by hash; no common-prefix lengths are found. Then levels of equal size merge, as in a binary counter, so an entry is
 rewritten a logarithmic number of times.
 
 Check. Only windows at shared suffixes are compared, by hashes of 128 bits of all their bytes: first in slices of up to ``SLICE`` windows
@@ -190,7 +192,7 @@ def _scan_level(key: tuple, new: pa.Table, level: pa.Table) -> pa.Table:
 
 
 class IndexFamily:
-    """Levels of suffix arrays; ``add`` takes a new batch and returns the shared suffixes that it brings, by bucket."""
+    """Levels of anchors; ``add`` takes a new batch and returns the shared suffixes that it brings, by bucket."""
 
     def __init__(self) -> None:
         self.levels: list[tuple[int, DataFrame]] = []
