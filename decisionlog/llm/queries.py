@@ -9,7 +9,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from decisionlog.llm import decontaminate, jaccard, packing, pieces, quality, sharding, substrings, suffixes, url_filter, warc
+from decisionlog.llm import centroids, decontaminate, jaccard, merkle, packing, pieces, quality, sharding, substrings, suffixes, topk, url_filter, warc
 
 cloudpickle.register_pickle_by_value(sys.modules["decisionlog.llm"])  # tasks need no copy of the package
 
@@ -150,3 +150,72 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op11_sql(k: int = 40, rounds: int = 5) -> str:
+    steps = [
+        f"""v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY draw) - 1 AS c, v FROM (SELECT v, sha256('2:' || vec_id) AS draw FROM v ORDER BY draw LIMIT {k}))"""
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (SELECT vec_id, min(d * 64 + c) AS best FROM (SELECT vec_id, c, CAST(list_dot_product(CAST(v.v AS DOUBLE[]), CAST(v.v AS DOUBLE[]))
+  + list_dot_product(CAST(c.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) - 2 * list_dot_product(CAST(v.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS d FROM v, c{r} AS c) GROUP BY vec_id)""")
+        if r < rounds:
+            steps.append(f"""c{r + 1} AS MATERIALIZED (SELECT c, coalesce(moved, v) AS v FROM c{r} LEFT JOIN (SELECT c, list(((s - ((s % n + n) % n)) // n) ORDER BY i) AS moved
+  FROM (SELECT best % 64 AS c, i, CAST(sum(v[i]) AS BIGINT) AS s, count(*) AS n FROM a{r} JOIN v USING (vec_id), range(1, 65) AS r(i) GROUP BY ALL) GROUP BY c) USING (c))""")
+    return f"""WITH {", ".join(steps)}
+SELECT vec_id, CAST(best % 64 AS INTEGER) AS cluster, best // 64 AS distance, CAST(sum(best // 64) OVER (PARTITION BY best % 64) AS BIGINT) AS cluster_inertia,
+  CAST(sum(best // 64) OVER () AS BIGINT) AS inertia, sha256(array_to_string(v, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} ON best % 64 = c"""
+
+
+@query(op11_sql())
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+OP12_SQL = """
+WITH v AS (SELECT vec_id, CAST(list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS DOUBLE[]) AS v FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score FROM v AS q JOIN v AS c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s QUALIFY rank <= 20"""
+
+
+@query(OP12_SQL)
+def op12_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
+def _h(column: str) -> str:
+    return f"coalesce(strlen(CAST({column} AS VARCHAR)) || ':' || {column}, '-')"
+
+
+#: parity of the CRC-32 of a decimal number, byte by byte and bit by bit
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS UBIGINT))),
+  lambda crc, x: list_reduce(list_prepend(xor(crc, x), [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]), lambda a, b: xor(a >> 1, 3988292384::UBIGINT * (a & 1::UBIGINT)))))"""
+
+OP13_SQL = f"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, source, sha256({_h("doc_id")} || {_h("source")} || {_h("lang")} || {_h("n_chars")} || {_h("text")}) AS leaf,
+  CASE WHEN {_CRC} % 2 = 0 THEN sha256({_h("doc_id")} || {_h("source")} || {_h("lang")} || {_h("n_chars")} || {_h("replace(text, chr(10), '')")}) END AS other FROM documents),
+p AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM d),
+low AS (SELECT source, 0 AS lvl, pos, n, leaf AS h FROM p
+  UNION ALL SELECT source, lvl + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM low WHERE n > 1 GROUP BY source, lvl, pos // 3, n),
+heads AS MATERIALIZED (SELECT source, lvl AS height, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM low WHERE n = 1),
+high AS (SELECT 0 AS lvl, pos, n, h FROM heads
+  UNION ALL SELECT lvl + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM high WHERE n > 1 GROUP BY lvl, pos // 3, n),
+nodes AS MATERIALIZED (SELECT source, lvl, pos, h FROM low WHERE n > 1 UNION ALL SELECT heads.source, height + high.lvl, high.pos, high.h FROM heads, high WHERE high.n > 1),
+walk AS (SELECT doc_id, p.source, 0 AS lvl, p.pos AS pos, height, heads.pos AS top, coalesce(other, leaf) AS h FROM p JOIN heads ON p.source IS NOT DISTINCT FROM heads.source
+  UNION ALL SELECT doc_id, w.source, w.lvl + 1, CASE WHEN w.lvl + 1 = height THEN top ELSE w.pos // 3 END, height, top, sha256(string_agg(CASE WHEN s.pos = w.pos THEN w.h ELSE s.h END, '' ORDER BY s.pos))
+  FROM walk w JOIN nodes s ON w.source IS NOT DISTINCT FROM s.source AND w.lvl = s.lvl AND w.pos // 3 = s.pos // 3 GROUP BY doc_id, w.source, w.lvl, w.pos, height, top),
+mates AS (SELECT doc_id, sha256(coalesce(string_agg(s.h, '' ORDER BY w.lvl, s.pos), '')) AS proof FROM walk w LEFT JOIN nodes s
+  ON w.source IS NOT DISTINCT FROM s.source AND w.lvl = s.lvl AND w.pos // 3 = s.pos // 3 AND w.pos <> s.pos GROUP BY doc_id),
+ends AS (SELECT doc_id, arg_max(h, lvl) AS folded FROM walk GROUP BY doc_id)
+SELECT p.doc_id, leaf, heads.h AS subroot, high.h AS root, proof AS proof_sha256, folded AS folded_root, folded = high.h AS verified
+FROM p JOIN heads ON p.source IS NOT DISTINCT FROM heads.source JOIN mates ON mates.doc_id = p.doc_id JOIN ends ON ends.doc_id = p.doc_id, high WHERE high.n = 1"""
+
+
+@query(OP13_SQL)
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's proof, folded again from texts of which some lost their line breaks."""
+    cut = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return merkle.verify(table(spark, sf_dir, "documents"), cut)
