@@ -20,8 +20,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from decisionlog.llm.shared import stored
-from decisionlog.llm.textscan import ALPHANUMERIC, LOWER, Words, pieces, rolled, starts_that_fit, without
+from decisionlog.llm.shared import free_name, stored
+from decisionlog.llm.textscan import ALPHANUMERIC, LOWER, Words, pieces, rolled, sliced, starts_that_fit, without
 
 WIDTH = 10
 SLICE_WINDOWS = 500_000
@@ -93,30 +93,45 @@ def _hits(words: Words, grams: Grams) -> list[tuple[int, int, int, list[str | No
     return out
 
 
-def _scan(df: DataFrame, text_col: str, held: Broadcast) -> DataFrame:
-    """``df`` with its hits added to ``__spans`` (word ranges, sorted and merged), ``__items``, and ``__words`` (number of words)."""
+def _scan(df: DataFrame, text_col: str, added: list[str], held: Broadcast, cut: bool = False) -> DataFrame:
+    """``df`` with its hits added to the columns ``added``: number of words, hit word ranges (sorted and merged), items. ``cut``: without the hit
+    words, in the same pass."""
     names = df.columns
-    at, spans_at, items_at = names.index(text_col), names.index("__spans"), names.index("__items")
+    at, (words_at, spans_at, items_at) = names.index(text_col), map(names.index, added)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = held.value
-        for batch in batches:
-            spans, items, counts = batch.column(spans_at).to_pylist(), batch.column(items_at).to_pylist(), []
-            for i, _, data, first, end in pieces(batch.column(at)):
-                words = _normalised(data, first, end)
-                counts.append(words.high - words.low)
-                for row, start, size, found in _hits(words, grams):
-                    spans[i + row].append({"first": start, "last": start + size})
-                    items[i + row].extend(found)
-            columns = list(batch.columns)
-            columns[spans_at] = pa.array([_merged(s) for s in spans], batch.column(spans_at).type)
-            columns[items_at] = pa.array([sorted(set(x), key=_by_name) for x in items], batch.column(items_at).type)
-            columns[names.index("__words")] = pa.array(np.concatenate(counts) if counts else [], pa.int64())
-            yield pa.RecordBatch.from_arrays(columns, names)
+        for whole in batches:
+            for batch in sliced(whole, at):
+                spans, items, counts, texts, keep = batch.column(spans_at).to_pylist(), batch.column(items_at).to_pylist(), [], {}, np.ones(len(batch), bool)
+                for i, _, data, first, end in pieces(batch.column(at)):
+                    words = _normalised(data, first, end)
+                    counts.append(words.high - words.low)
+                    for row, start, size, found in _hits(words, grams):
+                        spans[i + row].append({"first": start, "last": start + size})
+                        items[i + row].extend(found)
+                    for row in range(len(first)) if cut else ():
+                        if spans[i + row]:
+                            texts[i + row], keep[i + row] = _without(words, row, spans[i + row], data)
+                columns = list(batch.columns)
+                columns[spans_at] = pa.array([_merged(s) for s in spans], batch.column(spans_at).type)
+                columns[items_at] = pa.array([sorted(set(x), key=_by_name) for x in items], batch.column(items_at).type)
+                columns[words_at] = pa.array(np.concatenate(counts) if counts else [], pa.int64())
+                if texts:
+                    columns[at] = pa.array([texts.get(k, t) for k, t in enumerate(batch.column(at).to_pylist())], batch.column(at).type)
+                out = pa.RecordBatch.from_arrays(columns, names)
+                yield out.filter(pa.array(keep)) if cut else out
 
     return df.mapInArrow(scan, df.schema)
 
 
+def _without(words: Words, row: int, spans: list[dict], data: np.ndarray) -> tuple[str, bool]:
+    gone = np.zeros(len(words.start), bool)
+    for s in spans:
+        gone[words.low[row] + s["first"] : words.low[row] + s["last"]] = True
+    return without(words, row, gone, data)
+
+
 def _by_name(item: str | None) -> tuple[bool, str]:
     return item is None, item or ""
 
@@ -131,18 +146,26 @@ def _merged(spans: list[dict]) -> list[dict]:
     return out
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """``docs`` with ``__words`` (number of words), ``__spans`` (hit ranges of words) and ``__items`` (items with a window in the text)."""
+def _found(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, width: int, cut: bool) -> tuple[DataFrame, list[str]]:
     grams = stored(test_grams(benchmark, item_col, item_text_col, width))
     slices = max(1, -(-grams.count() // SLICE_WINDOWS))
-    out = docs.withColumns({"__words": F.lit(0).cast("bigint"), "__spans": F.array().cast(_SPANS), "__items": F.array().cast("array<string>")})
+    added = [free_name(docs, c) for c in ("__words", "__spans", "__items")]
+    out = docs.withColumns(dict(zip(added, (F.lit(0).cast("bigint"), F.array().cast(_SPANS), F.array().cast("array<string>")), strict=True)))
     context = docs.sparkSession.sparkContext
     for k in range(slices):
         # at most about SLICE_WINDOWS rows, also where many items share a window
         rows = grams.filter(F.pmod(F.xxhash64("hash", "item"), F.lit(slices)) == k).collect()
-        out = _scan(out, text_col, context.broadcast(_lookup(rows)))
+        out = _scan(out, text_col, added, context.broadcast(_lookup(rows)), cut and k + 1 == slices)
         out = stored(out) if k + 1 < slices else out
-    return out
+    return out, added
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH) -> DataFrame:
+    """``docs`` with ``__words`` (number of words), ``__spans`` (hit ranges of words) and ``__items`` (items with a window in the text).
+
+    Where ``docs`` has such a column, the new one has an underscore more.
+    """
+    return _found(docs, benchmark, text_col, item_col, item_text_col, width, cut=False)[0]
 
 
 def leak_report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
@@ -160,32 +183,7 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
     A removed range goes from its first to its last word; documents left without any word go too. Clean documents stay as they are.
     """
-    found = find_leaks(docs, benchmark, text_col, width=width)
-    if remove == "documents":
-        return found.filter(F.size("__spans") == 0).select(*docs.columns)
-    if remove != "spans":
+    if remove not in ("spans", "documents"):
         raise ValueError("remove: spans or documents")
-    names = found.columns
-    at, spans_at = names.index(text_col), names.index("__spans")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans, texts, keep = batch.column(spans_at).to_pylist(), {}, np.ones(len(batch), bool)
-            for i, _, data, first, end in pieces(batch.column(at)):
-                words = _normalised(data, first, end) if any(spans[i : i + len(first)]) else None
-                for row in range(len(first)):
-                    if spans[i + row]:
-                        gone = np.zeros(len(words.start), bool)
-                        for s in spans[i + row]:
-                            gone[words.low[row] + s["first"] : words.low[row] + s["last"]] = True
-                        texts[i + row], keep[i + row] = without(words, row, gone, data)
-            if texts:
-                column = batch.column(at).to_pylist()
-                for row, text in texts.items():
-                    column[row] = text
-                columns = list(batch.columns)
-                columns[at] = pa.array(column, batch.column(at).type)
-                batch = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
-            yield batch.filter(pa.array(keep))
-
-    return found.mapInArrow(cut, found.schema).select(*docs.columns)
+    out, (_, spans, _) = _found(docs, benchmark, text_col, "item_id", "text", width, cut=remove == "spans")
+    return (out if remove == "spans" else out.filter(F.size(spans) == 0)).select(*docs.columns)

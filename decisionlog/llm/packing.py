@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from decisionlog.llm.substrings import BUCKET, bucketed
 
 LENGTH = 2048
-CACHE = 200_000
+CACHE_BYTES, LONG_CHUNK = 40 << 20, 64
 DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: fixed value: the word pattern that belongs to this vocabulary
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -39,18 +39,23 @@ def load_ranks(path: str = DEFAULT_RANKS) -> dict[bytes, int]:
 
 
 class Tokenizer:
-    """Ids of texts. Chunks of one word are encoded once and kept; no match of the pattern reaches over a chunk."""
+    """Ids of texts. Chunks of one word are encoded once and, unless very long, kept in a cache of bounded bytes; no match of the pattern reaches over a chunk."""
 
     def __init__(self, ranks: dict[bytes, int]):
         from tiktoken import Encoding
 
         self.encoding = Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.cache: dict[str, bytes] = {}
+        self.bytes = 0
 
     def _chunk(self, chunk: str) -> bytes:
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        got = self.cache[chunk] = np.array(self.encoding.encode_ordinary(chunk), np.int32).tobytes()
+        got = np.array(self.encoding.encode_ordinary(chunk), np.int32).tobytes()
+        if len(chunk) <= LONG_CHUNK:
+            if self.bytes > CACHE_BYTES:
+                self.cache.clear()
+                self.bytes = 0
+            self.cache[chunk] = got
+            self.bytes += 200 + 2 * len(chunk) + len(got)
         return got
 
     def ids(self, text: str | None) -> np.ndarray:

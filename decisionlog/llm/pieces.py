@@ -5,7 +5,7 @@ each place its best score from the left; these are exact estimates for an A* sea
 come out in order of their score.
 
 No piece reaches over the begin of a word (``_``, the piece mark, after another character), so the lattice is a chain of word lattices.
-Each distinct word gets one forward pass, kept in a bounded cache, with the score its second-best path loses. A path among the n best can
+Each distinct word gets one forward pass, kept in a cache of bounded bytes, with the score its second-best path loses. A path among the n best can
 only leave the best one at the n-1 words that lose least, so the A* search of a text runs over those words' lattices alone and is exact.
 
 Text the vocabulary lacks becomes byte pieces, or the unknown piece where the model has none; such a step costs as much as the worst piece
@@ -27,8 +27,10 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from decisionlog.llm.textscan import sliced
+
 BEST = 4
-CACHE = 200_000
+CACHE_BYTES, TEXT_BYTES = 40 << 20, 1 << 20
 MARK = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _WORD = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
@@ -255,25 +257,32 @@ def best_paths(words: list[str], v: Vocabulary, table: _Table) -> list[tuple[byt
     return [None if rare[k] else (raw[cuts[k] : cuts[k + 1]], scores[k], losses[k]) for k in range(n)]
 
 
+#: words beyond it are worked on one by one and not kept beyond their texts
 LONG_WORD = 40
+#: bytes of a cache entry besides its word and its pieces
+_ENTRY_BYTES = 330
 
 
 class _Encoder:
     def __init__(self, v: Vocabulary, n: int):
         self.v, self.n, self.cache, self.table, self.lattices = v, n, {}, _Table(v), {}
+        self.bytes, self.lattice_bytes, self.long = 0, 0, {}
 
     def _lattice(self, word: str) -> tuple[list, list[float]]:
         got = self.lattices.get(word)
         if got is None:
-            if len(self.lattices) > CACHE // 30:
-                self.lattices.clear()
-            got = self.lattices[word] = _edges(word, self.v), forward(word, self.v)[0]
+            got = _edges(word, self.v), forward(word, self.v)[0]
+            if len(word) <= LONG_WORD:
+                size = 500 + 100 * sum(map(len, got[0]))
+                if self.lattice_bytes + size > CACHE_BYTES // 2:
+                    self.lattices.clear()
+                    self.lattice_bytes = 0
+                self.lattices[word] = got
+                self.lattice_bytes += size
         return got
 
     def learn(self, words: set[str]) -> None:
-        """Put the best paths of words into the cache: words of one length together, very long ones alone."""
-        if len(self.cache) > CACHE:
-            self.cache.clear()
+        """Put the best paths of words into the cache: words of one length together, very long ones alone and only for now."""
         by_size: dict[int, list[str]] = {}
         for w in words:
             by_size.setdefault(len(w), []).append(w)
@@ -285,20 +294,28 @@ class _Encoder:
                     if got is None:
                         ids, score, loss = best_path(w, self.v)
                         got = np.array(ids, np.int32).tobytes(), score, loss
-                    self.cache[w] = got
+                    if size <= LONG_WORD:
+                        self.cache[w] = got
+                        self.bytes += _ENTRY_BYTES + 2 * len(w) + len(got[0])
+                    else:
+                        self.long[w] = got
 
     def encode_all(self, texts: list[str | None]) -> list[tuple[bytes, float, list[dict], bool]]:
         """Per text: best ids, their score, the next paths as edits of the best, and whether decoding gives the text back."""
         words = [words_of(t or "", self.v) for t in texts]
-        if len(self.cache) > CACHE:
+        if self.bytes > CACHE_BYTES:
             self.cache.clear()
+            self.bytes = 0
         self.learn(set(chain.from_iterable(words)) - self.cache.keys())
-        return [self._encode(t or "", w) for t, w in zip(texts, words, strict=True)]
+        out = [self._encode(t or "", w) for t, w in zip(texts, words, strict=True)]
+        self.long.clear()
+        return out
 
     def _encode(self, text: str, words: list[str]) -> tuple[bytes, float, list[dict], bool]:
         if not words:
             return b"", 0.0, [], True
-        raws, scores, losses = zip(*map(self.cache.__getitem__, words), strict=True)
+        cache, long = self.cache, self.long
+        raws, scores, losses = zip(*[cache.get(w) or long[w] for w in words], strict=True)
         raw, score, losses = b"".join(raws), sum(scores), np.array(losses)
         few = min(self.n - 1, len(words))
         at = np.sort(_smallest(losses, few)).tolist() if few else []
@@ -346,8 +363,7 @@ def encode(df: DataFrame, text_col: str = "text", model: str = DEFAULT_MODEL, n:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _Encoder(Vocabulary(*held.value), n)
         for whole in batches:
-            for at in range(0, len(whole), 500):
-                batch = whole.slice(at, 500)
+            for batch in sliced(whole, 0, TEXT_BYTES):
                 found = encoder.encode_all(batch.column(0).to_pylist())
                 offsets = np.cumsum([0, *(len(f[0]) // 4 for f in found)]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join([f[0] for f in found]), np.int32)))

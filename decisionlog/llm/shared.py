@@ -25,13 +25,26 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/corpus-{uuid.uuid4().hex}"
 
 
+#: bytes of a row group that a task holds while it writes a table of ``stored``
+ROW_GROUP = 32 << 20
+
+
 def stored(df: DataFrame, *partition_by: str) -> DataFrame:
     """The rows written as a Parquet table in the shared folder and read back: cuts lineage, survives lost executors."""
     path = shared_folder(df.sparkSession)
-    df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
+    write = df.write.option("parquet.block.size", str(ROW_GROUP))
+    write.partitionBy(*partition_by).parquet(path) if partition_by else write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def partitions(spark: SparkSession) -> int:
     """The number of shuffle partitions that the session was tuned to."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores behind it where ``df`` has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

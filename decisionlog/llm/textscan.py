@@ -69,6 +69,12 @@ def pieces(column: pa.Array, limit: int = PIECE_BYTES) -> Iterator[tuple[int, in
         i = j
 
 
+def sliced(batch: pa.RecordBatch, column: int, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of whole rows that hold at most ``limit`` bytes of text (or one row)."""
+    for i, j, *_ in pieces(batch.column(column), limit):
+        yield batch.slice(i, j - i)
+
+
 class Words:
     """The words of some texts that lie one after another in ``data``."""
 
