@@ -64,8 +64,9 @@ def joined_predictions(t):
     return E.count_scores(E.score(joined), ["mode"]).select("mode", "n", "missing", "tool_correct")
 
 
-_CONFUSION = """SELECT gt_tool, unnest(list_filter([CASE WHEN json_errors = 1 THEN 'INVALID_JSON' END, CASE WHEN schema_errors = 1 THEN 'INVALID_SCHEMA' END,
-    CASE WHEN ok THEN pred_tool END], lambda x: x IS NOT NULL)) AS pred_tool FROM scored WHERE gt_ok"""
+CONFUSION_LABELS = """list_filter([CASE WHEN json_errors = 1 THEN 'INVALID_JSON' END, CASE WHEN schema_errors = 1 THEN 'INVALID_SCHEMA' END,
+    CASE WHEN ok THEN pred_tool END], lambda x: x IS NOT NULL)"""
+_CONFUSION = f"SELECT gt_tool, unnest({CONFUSION_LABELS}) AS pred_tool FROM scored WHERE gt_ok"
 
 
 @query(f"SELECT gt_tool, pred_tool, COUNT(*) AS n FROM ({_CONFUSION}) GROUP BY gt_tool, pred_tool", "scored")

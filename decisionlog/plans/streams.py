@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from decisionlog.operators.evaluate import score
 from decisionlog.plans import views as V
-from decisionlog.plans.evaluation import _ALERT, _MAX_BURST, PRIORS_SQL
+from decisionlog.plans.evaluation import _ALERT, _MAX_BURST, CONFUSION_LABELS, PRIORS_SQL
 from decisionlog.plans.registry import query
 from decisionlog.streaming import jobs as J
+from decisionlog.streaming.keyed import keyed_state
 
 
 def shared_folder(spark) -> str:
@@ -24,30 +25,37 @@ def shared_folder(spark) -> str:
     return f"{base.rstrip('/')}/decisionlog-{uuid.uuid4().hex}"
 
 
-FILES_PER_BATCH = 1_000
+BATCHES = 12
+_logs: dict[tuple[str, str], str] = {}
+
+
+def _log_folder(spark, directory: str) -> str:
+    """The events as a log of ``BATCHES`` files, each later than the one before; written once per session.
+
+    A file source takes files by their time of writing, so the parts are appended one after another.
+    """
+    key = (spark.sparkContext.applicationId, directory)
+    if key not in _logs:
+        folder = shared_folder(spark)
+        rows = spark.read.parquet(f"{directory}/events.parquet")
+        rows.repartitionByRange(BATCHES, "ts").withColumn("_part", F.spark_partition_id()).write.partitionBy("_part").parquet(f"{folder}/parts")
+        parts = spark.read.parquet(f"{folder}/parts")
+        for i in range(BATCHES):
+            parts.filter(F.col("_part") == i).drop("_part").coalesce(1).write.mode("append").parquet(f"{folder}/log")
+        _logs[key] = f"{folder}/log"
+    return _logs[key]
 
 
 class _Stream(V.Tables):
-    """The tables with ``events`` as a stream, its time as an event time."""
+    """The tables with ``events`` as a stream of one file a batch, its time as an event time."""
 
     @property
     def events(self):
         schema = self.spark.read.parquet(f"{self.directory}/events.parquet").schema
-        # a table is a folder of part files, or one file in the tables' folder; a few files make a batch
-        path = f"{self.directory}/events.parquet"
-        if self._is_folder(path):
-            rows = J.tail(self.spark, path, schema, "parquet", files_per_batch=FILES_PER_BATCH)
-        else:
-            rows = J.tail(self.spark, self.directory, schema, "parquet", glob="events.parquet")
+        rows = J.tail(self.spark, _log_folder(self.spark, self.directory), schema, "parquet", files_per_batch=1)
         return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-    def _is_folder(self, path: str) -> bool:
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        return place.getFileSystem(conf).getFileStatus(place).isDirectory()
-
-
 class _Log(V.Tables):
     """The tables with ``events`` as the stream has them, read at once."""
 
@@ -97,8 +105,10 @@ def stream_sliding_windows(t):
     GROUP BY user_id, s HAVING MAX(us) + 21600000000 <= (SELECT epoch_us(max(ts)) // 1000 * 1000 - 600000000 FROM events)"""
 )
 def stream_sessions(t):
-    rows = _stored(t, J.activity_sessions(_Stream(t.spark, t.directory).events, "6 hours"))
-    return rows.select("user_id", F.unix_micros("session_start").alias("starts"), "commands")
+    rows = J.whole_sessions(_completed(t, lambda s: J.activity_sessions(s, "6 hours"), start="session_start"))
+    # a session that the watermark has passed when the stream stops
+    end = _Log(t.spark, t.directory).events.agg((F.unix_millis(F.max("ts")) - 600_000).alias("ms")).first()["ms"]
+    return rows.filter(F.unix_micros("session_end") <= F.lit(end) * 1000).select("user_id", F.unix_micros("session_start").alias("starts"), "commands")
 
 
 @query(
@@ -107,18 +117,18 @@ def stream_sessions(t):
     "ticks",
 )
 def stream_decision_points(t):
-    folder = shared_folder(t.spark)
     s = V.ticks(_Stream(t.spark, t.directory))
-    _finish(J.live_decision_points(s, f"{folder}/out", f"{folder}/state", f"{folder}/checkpoint", keys=V.USER, order=V.event_order(), id_col="event_id"))
-    return t.spark.read.parquet(f"{folder}/out").select("event_id", "alert_reason")
+    points = J.live_decision_points(s, keys=V.USER, order=V.event_order(), id_col="event_id")
+    with keyed_state(t.spark, idle_batches=False):
+        return _stored(t, points).select("event_id", "alert_reason")
 
 
 @query(PRIORS_SQL, "commands")
 def stream_priors(t):
-    folder = shared_folder(t.spark)
-    s = V.commands(_Stream(t.spark, t.directory))
-    _finish(J.live_user_priors(s, f"{folder}/out", f"{folder}/state", f"{folder}/checkpoint", trial=V.USER, order=V.event_order(), max_burst=_MAX_BURST))
-    return J.read_user_priors(t.spark, f"{folder}/out", V.USER)
+    # the log is in order: without a delay the last batch moves the watermark to its end, and every timer fires
+    s = J.live_user_priors(V.commands(_Stream(t.spark, t.directory)), trial=V.USER, order=V.event_order(), watermark="0 seconds", max_burst=_MAX_BURST)
+    with keyed_state(t.spark):
+        return J.read_user_priors(_stored(t, s), V.USER)
 
 
 @query(
@@ -160,7 +170,7 @@ def stream_sliding_windows_whole(t):
     GROUP BY user_id, s"""
 )
 def stream_sessions_whole(t):
-    rows = _completed(t, lambda s: J.activity_sessions(s, "6 hours"), start="session_start")
+    rows = J.whole_sessions(_completed(t, lambda s: J.activity_sessions(s, "6 hours"), start="session_start"))
     return rows.select("user_id", F.unix_micros("session_start").alias("starts"), "commands")
 
 
@@ -177,6 +187,26 @@ def stream_accuracy_whole(t):
     return rows.select(F.unix_seconds("window_start").alias("starts"), "n", "tool_correct", "json_errors")
 
 
+@query(
+    f"""SELECT CAST(epoch_us(ts) // 1000000 // 86400 * 86400 AS BIGINT) AS starts, gt_tool, pred_tool, COUNT(*) AS n FROM (
+    SELECT ts, gt_tool, unnest(CASE WHEN k % 11 = 0 THEN ['MISSING'] ELSE {CONFUSION_LABELS} END) AS pred_tool FROM scored WHERE gt_ok) GROUP BY 1, 2, 3""",
+    "scored",
+)
+def stream_confusion(t):
+    """Of every eleventh event the answer never comes."""
+
+    def sides(tables):
+        calls = V.logged_calls(tables)
+        return calls.select("id", "ts", "output"), calls.filter(F.col("k") % 11 != 0).select("id", "ts", "raw")
+
+    truth, _ = sides(_Stream(t.spark, t.directory))
+    _, answers = sides(_Stream(t.spark, t.directory))
+    rows = _stored(t, J.running_confusion(truth, answers, score))
+    whole, given = sides(_Log(t.spark, t.directory))
+    rows = J.completed(rows, whole, lambda s: J.running_confusion(s, given, score), keys=())
+    return rows.select(F.unix_seconds("window_start").alias("starts"), "gt_tool", "pred_tool", "n")
+
+
 @query("SELECT CASE WHEN event_type = 'error' AND k % 3 = 0 THEN 'bad' ELSE 'good' END AS gate, COUNT(*) AS n FROM ev GROUP BY 1", "ev")
 def stream_gate(t):
     folder = shared_folder(t.spark)
