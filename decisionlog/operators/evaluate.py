@@ -62,6 +62,18 @@ def score(
     return _score_calls(rows, df.columns, ignore_text)
 
 
+def score_counted(df: DataFrame, dims: Sequence[str] = (), *, truth: str = "output", raw: str = "raw", **how) -> DataFrame:
+    """Like :func:`score`, with one row per distinct (``dims``, truth, answer): each pair of texts is read once, its counters times its rows.
+
+    Sums over the counters are those of :func:`score`. Logs repeat few answers very often; a partial count runs before the shuffle.
+    """
+    counted = df.groupBy(*dims, truth, raw).agg(F.count("*").alias("_times"))
+    # texts that depend on the count: a filter on the scores is not pushed below it, where it would read every row
+    held = {c: F.when(F.col("_times") > 0, F.col(c)) for c in (truth, raw)}
+    scored = score(counted.withColumns(held), truth=truth, raw=raw, **how)
+    return scored.withColumns({c: F.col(c) * F.col("_times") for c in COUNTERS}).drop("_times")
+
+
 def _score_calls(rows: DataFrame, columns: Sequence[str], ignore_text: bool) -> DataFrame:
     both = F.struct("gt", "pred", "_missing", (F.size(call_violations(F.col("pred"))) == 0).alias("valid"))
     rows = rows.withColumn("_s", let(both, lambda x: _flags(x["gt"], x["pred"], x["_missing"], x["valid"], ignore_text)))
@@ -154,7 +166,7 @@ def tool_confusion(scored: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     A schema-invalid prediction counts twice: as its tool and as ``INVALID_SCHEMA``. An unreadable one is ``INVALID_JSON``.
     """
     # count the few distinct label sets first, then unfold them
-    counted = scored.groupBy(*keys, "gt_tool", "pred_labels").agg(F.count("*").alias("_n"))
+    counted = scored.groupBy(*keys, "gt_tool", "pred_labels").agg(F.sum("n").alias("_n"))
     return (
         counted.select(*keys, "gt_tool", F.explode_outer("pred_labels").alias("pred_tool"), "_n")
         .filter(F.col("pred_tool").isNotNull())

@@ -42,14 +42,18 @@ def scored(t):
     return E.score(V.logged_calls(t))
 
 
+def counted(t, *dims):
+    return E.score_counted(V.logged_calls(t), dims)
+
+
 @query(_report_sql("mode"), "scored")
 def accuracy_report(t):
-    return _rounded(E.accuracy_report(scored(t), ["mode"]))
+    return _rounded(E.accuracy_report(counted(t, "mode"), ["mode"]))
 
 
 @query(_report_sql("", "motion_both_n"), "scored")
 def accuracy_report_online(t):
-    return _rounded(E.accuracy_report(scored(t), motion_denominator="both"))
+    return _rounded(E.accuracy_report(counted(t), motion_denominator="both"))
 
 
 @query(
@@ -71,7 +75,7 @@ _CONFUSION = f"SELECT gt_tool, unnest({CONFUSION_LABELS}) AS pred_tool FROM scor
 
 @query(f"SELECT gt_tool, pred_tool, COUNT(*) AS n FROM ({_CONFUSION}) GROUP BY gt_tool, pred_tool", "scored")
 def tool_confusion(t):
-    return E.tool_confusion(scored(t))
+    return E.tool_confusion(counted(t))
 
 
 @query(
@@ -80,7 +84,7 @@ def tool_confusion(t):
     "scored",
 )
 def confusion_normalised(t):
-    return _rounded(E.normalise_confusion(E.tool_confusion(scored(t))))
+    return _rounded(E.normalise_confusion(E.tool_confusion(counted(t))))
 
 
 _COUNTERS = ("json_valid", "schema_valid", "tool_correct", "tool_wrong", "motion_n", "motion_obj_correct", "interact_n", "strict_exact")
@@ -94,7 +98,7 @@ _SUMS = ", ".join(f"CAST(SUM({c}) AS BIGINT) AS {c}" for c in _COUNTERS)
     "scored",
 )
 def breakdown_sets(t):
-    return E.breakdowns(scored(t)).select("dim", "key", "n", *_COUNTERS)
+    return E.breakdowns(counted(t, "context", "mode", "n_cands")).select("dim", "key", "n", *_COUNTERS)
 
 
 @query(
@@ -106,14 +110,14 @@ def breakdown_sets(t):
     "scored",
 )
 def error_decomposition(t):
-    return _rounded(E.error_decomposition(E.accuracy_report(scored(t), ["context"]), ["context"]))
+    return _rounded(E.error_decomposition(E.accuracy_report(counted(t, "context"), ["context"]), ["context"]))
 
 
 @query("SELECT context, round(CAST(SUM(tool_correct) AS DOUBLE) / COUNT(*), 6) AS accuracy, COUNT(*) AS n FROM scored GROUP BY context", "scored")
 def context_heat(t):
     from decisionlog.functions.text import ratio
 
-    b = E.breakdowns(scored(t), ("context",))
+    b = E.breakdowns(counted(t, "context"), ("context",))
     return b.select(F.col("key").alias("context"), F.round(ratio(F.col("tool_correct"), F.col("n")), 6).alias("accuracy"), "n")
 
 
