@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from decisionlog.llm.shared import free_name
 from decisionlog.llm.textscan import mix
 
 MAX_SLOTS = 4_194_301
@@ -67,13 +68,15 @@ def table_rows(spark: SparkSession, shards: Sequence[str], slots: int = SLOTS, n
 def place(df: DataFrame, keys: Sequence[str], shards: Sequence[str], slots: int = SLOTS, name: str = "shard") -> DataFrame:
     """``df`` with its shard in a column ``name``, which takes the place of one of that name."""
     rest = [c for c in df.columns if c.lower() != name.lower()]
-    placed = df.select(*rest, slot_of([F.col(k) for k in keys], slots).alias("__slot"))
-    table = table_rows(df.sparkSession, shards, slots, name).withColumnRenamed("slot", "__slot")
-    return placed.join(F.broadcast(table), "__slot").select(*rest, name)
+    slot = free_name(df, f"{name}_slot")
+    placed = df.select(*rest, slot_of([F.col(k) for k in keys], slots).alias(slot))
+    table = table_rows(df.sparkSession, shards, slots, name).withColumnRenamed("slot", slot)
+    return placed.join(F.broadcast(table), slot).select(*rest, name)
 
 
 def write_shards(df: DataFrame, keys: Sequence[str], shards: Sequence[str], path: str, parts: int = 1, slots: int = SLOTS) -> None:
     """One folder per shard below ``path``; ``parts`` tasks write a shard, so its size is no bound."""
     placed = place(df, keys, shards, slots, "shard")
     part = F.pmod(F.xxhash64(*keys), F.lit(parts))
-    placed.withColumn("__part", part).repartition("shard", "__part").drop("__part").write.partitionBy("shard").parquet(path)
+    name = free_name(placed, "part")
+    placed.withColumn(name, part).repartition("shard", name).drop(name).write.partitionBy("shard").parquet(path)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from decisionlog.llm.shared import shared_folder, stored
 
-READ_BYTES = 8 << 20
+READ_BYTES, TASK_BYTES = 8 << 20, 16 << 20
 GAP_BYTES = 64 << 10
 INDEX = "page_id long, url string, digest string, record_type string, archive string, offset long, length long"
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -137,7 +137,8 @@ def read_records(index: DataFrame, payloads: bool = True) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _RECORD_TYPES, strict=True)], _RECORD_NAMES)
                 i = j
 
-    place = index.select("archive", "offset", "length").repartition("archive").sortWithinPartitions("archive", "offset")
+    size = index.agg(F.sum("length")).first()[0] or 0
+    place = index.select("archive", "offset", "length").repartitionByRange(max(1, -(-size // TASK_BYTES)), "archive", "offset").sortWithinPartitions("archive", "offset")
     return place.mapInArrow(read, RECORD)
 
 

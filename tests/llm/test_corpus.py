@@ -372,3 +372,28 @@ def test_pipeline(spark, docs, texts):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, spark.read.parquet(f"{folder}/documents.parquet").limit(0), folder)
         assert set(out.columns) == {*docs.columns, "n_chars"} - {"ids"} and out.count() == 0
+
+
+def test_columns_with_the_operators_names(spark):
+    schema = "doc_id long, text string, __spans int, __items string, __words int, shard_slot int, slot int, part int"
+    rows = [(1, "a b c d e f g h i j k", 7, "x", 8, 1, 2, 3), (2, None, None, None, None, None, None, None), (3, "other words", 1, "y", 2, 3, 4, 5)]
+    docs = spark.createDataFrame(rows, schema)
+    bench = spark.createDataFrame([("t", "b c d e f g h i j k")], "item_id string, text string")
+    cut = decontaminate.remove_leaks(docs, bench)
+    assert cut.columns == docs.columns
+    assert sorted(map(tuple, cut.collect()), key=repr) == sorted([(1, "a ", *rows[0][2:]), rows[1], rows[2]], key=repr)
+    kept = decontaminate.remove_leaks(docs, bench, remove="documents")
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted(rows[1:], key=repr)
+    placed = sharding.place(docs, ["doc_id"], ["p", "q"], slots=211)
+    assert sorted(tuple(r)[:-1] for r in placed.filter("doc_id <> 2").collect()) == [rows[0], rows[2]] and placed.count() == 3
+
+
+def test_long_words_leave_the_caches(spark):
+    held = pieces.load_vocabulary()
+    encoder = pieces._Encoder(held, 2)
+    texts = ["x" * 3000, "a word " * 3, "y" * 3000]
+    once = encoder.encode_all(texts)
+    assert not encoder.long and max(map(len, encoder.cache)) <= pieces.LONG_WORD
+    assert [pieces._Encoder(held, 2).encode_all([t])[0] for t in texts] == once and all(x[3] for x in once)
+    tokenizer = packing.Tokenizer(packing.load_ranks())
+    assert len(tokenizer.ids("z" * 500)) and not tokenizer.cache
