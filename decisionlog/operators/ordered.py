@@ -3,7 +3,8 @@
 ``lag``, running sums and run lengths over ``partitionBy(key)`` put every row of a key into one task. Here a key is cut
 into *chunks*: ranges of the sort order. The large shuffle and sort happen per (key, chunk); what one chunk needs from
 its predecessors is a single small row per (key, chunk), combined per key and joined back. A key holding a third of the
-table is spread over as many tasks as it has chunks, and results equal the plain window.
+table is spread over as many tasks as it has chunks, and results equal the plain window. Where rows crowd inside a chunk, it
+is cut again at their quantiles (:func:`balanced`).
 
 A null key is a key of its own.
 """
@@ -11,7 +12,7 @@ A null key is a key of its own.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,12 +20,21 @@ from pyspark.sql import functions as F
 CHUNK = "_chunk"
 
 
+#: parts that a crowded chunk is cut into
+PARTS = 64
+
+
 @dataclass(frozen=True)
 class Order:
-    """Sort columns, and a chunk expression that never decreases along them."""
+    """Sort columns, and a chunk expression that never decreases along them.
+
+    ``at`` is the first sort column as a number. ``cuts`` holds the places at which crowded chunks are cut again (:func:`balanced`), by key columns named ``of_...``.
+    """
 
     columns: tuple[str, ...]
     chunk: Column
+    at: Column | None = None
+    cuts: DataFrame | None = None
 
     @property
     def key(self) -> Column:
@@ -33,12 +43,12 @@ class Order:
 
 def by_time(ts: str, *ties: str, width_seconds: int = 86_400) -> Order:
     """Order by a timestamp column, cut into ``width_seconds`` ranges."""
-    return Order((ts, *ties), F.floor(epoch_seconds(F.col(ts)) / F.lit(width_seconds)))
+    return Order((ts, *ties), F.floor(epoch_seconds(F.col(ts)) / F.lit(width_seconds)), F.unix_micros(F.col(ts).cast("timestamp")))
 
 
 def by_number(column: str, *ties: str, size: int = 1_000_000) -> Order:
     """Order by a numeric column (a line number, a turn, seconds), cut into ranges of ``size``."""
-    return Order((column, *ties), F.floor(F.col(column) / F.lit(size)))
+    return Order((column, *ties), F.floor(F.col(column) / F.lit(size)), F.col(column).cast("double"))
 
 
 def by_value(column: str, *ties: str) -> Order:
@@ -56,6 +66,31 @@ def last_items(array: Column, n: int) -> Column:
     return F.slice(array, F.greatest(F.size(array) - F.lit(n - 1), F.lit(1)), n)
 
 
+def balanced(df: DataFrame, keys: Sequence[str], order: Order, rows: int) -> Order:
+    """``order`` with chunks that hold more than ``rows`` rows of a key cut again into ``PARTS`` parts of about equal size.
+
+    The cuts are an equi-depth histogram of each crowded chunk: a quantile sketch that tasks build and merge, one small row per crowded chunk. They are
+    computed once, here, and kept in the checkpoint folder, so that every use of the order sees the same. Rows with equal first sort columns stay
+    together. The order then serves any keys that begin with ``keys`` and any rows, not only those of ``df``.
+    """
+    shares = [k / PARTS for k in range(1, PARTS)]
+    cells = df.select(*keys, order.chunk.alias("of_chunk"), order.at.alias("_at")).groupBy(*keys, "of_chunk")
+    crowded = cells.agg(F.count("*").alias("_n"), F.percentile_approx("_at", shares, 10_000).alias("cuts")).filter(F.col("_n") > rows)
+    cuts = crowded.select(*[F.col(k).alias(f"of_{k}") for k in keys], "of_chunk", F.array_distinct("cuts").alias("cuts"))
+    return replace(order, cuts=cuts.checkpoint())
+
+
+def in_chunks(df: DataFrame, order: Order) -> DataFrame:
+    """``df`` with its chunk: the order's own, and where that is crowded, a part of it."""
+    if order.cuts is None:
+        return df.withColumn(CHUNK, order.chunk)
+    rows = df.withColumns({CHUNK: order.chunk, "_at": order.at})
+    same = [rows[c.removeprefix("of_") if c != "of_chunk" else CHUNK].eqNullSafe(order.cuts[c]) for c in order.cuts.columns if c != "cuts"]
+    part = F.coalesce(F.size(F.filter("cuts", lambda b: b < F.col("_at"))), F.lit(0))
+    found = rows.join(order.cuts, same, "left").withColumn(CHUNK, F.struct(F.col(CHUNK).alias("chunk"), part.alias("part")))
+    return found.select(*df.columns, CHUNK)
+
+
 def _inside(keys: Sequence[str], order: Order) -> Window:
     return Window.partitionBy(*keys, CHUNK).orderBy(*order.columns)
 
@@ -80,7 +115,7 @@ def previous(
     ``seen`` names an extra boolean column: true when a preceding row exists.
     """
     item = F.struct(*[_col(v).alias(n) for n, v in values.items()])
-    cut = df.withColumn(CHUNK, order.chunk)
+    cut = in_chunks(df, order)
     tails = (
         cut.groupBy(*keys, CHUNK)
         .agg(F.max_by(item, order.key).alias("_tail"))
@@ -104,7 +139,7 @@ def trailing(
     """
     before = n - 1 if include_current else n
     item = F.struct(_col(value).alias("v"))
-    cut = df.withColumn(CHUNK, order.chunk)
+    cut = in_chunks(df, order)
     latest = Window.partitionBy(*keys, CHUNK).orderBy(*[F.col(c).desc() for c in order.columns])
     tails = (
         cut.select(*keys, CHUNK, item.alias("_item"), *_missing(order.columns, keys))
@@ -130,7 +165,7 @@ def trailing(
 
 def running(df: DataFrame, keys: Sequence[str], order: Order, sums: Mapping[str, Column]) -> DataFrame:
     """Add running sums up to and including each row."""
-    cut = df.withColumn(CHUNK, order.chunk)
+    cut = in_chunks(df, order)
     before = _across(keys).rowsBetween(Window.unboundedPreceding, -1)
     totals = cut.groupBy(*keys, CHUNK).agg(*[F.sum(e).alias(f"_t_{n}") for n, e in sums.items()])
     offsets = totals.select(*keys, CHUNK, *[F.sum(f"_t_{n}").over(before).alias(f"_o_{n}") for n in sums])
@@ -159,7 +194,7 @@ def sum_adjacent(
     One large shuffle; each chunk leaves its first row, last row and partial sums. Keys with a single row get zeros.
     """
     item = F.struct(*[_col(v).alias(n) for n, v in values.items()])
-    cut = df.select(*keys, order.chunk.alias(CHUNK), item.alias("_item"), *_missing(order.columns, keys))
+    cut = in_chunks(df.select(*keys, item.alias("_item"), *_missing(order.columns, keys)), order)
     rows = cut.withColumn("_before", F.lag("_item").over(_inside(keys, order)))
     pair = F.col("_before").isNotNull()
     per_chunk = rows.groupBy(*keys, CHUNK).agg(
@@ -184,7 +219,7 @@ def repeats(df: DataFrame, keys: Sequence[str], order: Order, value: Column | st
     A null value always breaks a run; the longest run of a non-empty key is at least 1.
     """
     w = _inside(keys, order)
-    cut = df.select(*keys, order.chunk.alias(CHUNK), _col(value).alias("_v"), *_missing(order.columns, keys))
+    cut = in_chunks(df.select(*keys, _col(value).alias("_v"), *_missing(order.columns, keys)), order)
     same = F.coalesce(F.lag("_v").over(w) == F.col("_v"), F.lit(False))
     rows = cut.withColumn("_new", F.when(same, 0).otherwise(1))
     rows = rows.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))

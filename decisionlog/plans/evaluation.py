@@ -219,7 +219,7 @@ _RUNS = """SELECT user_id, {v} AS v, COUNT(*) AS len FROM (SELECT *, SUM(brk) OV
 
 @query(f"SELECT user_id, MAX(len) AS longest_run FROM ({_RUNS.format(v='tool')}) GROUP BY user_id", "ticks")
 def longest_runs(t):
-    return R.longest_run(V.ticks(t), "tool", V.USER, V.event_order())
+    return R.longest_run(V.ticks(t), "tool", V.USER, V.user_order(t))
 
 
 @query(
@@ -228,7 +228,7 @@ def longest_runs(t):
     "ticks",
 )
 def duplicate_transitions(t):
-    return R.duplicate_transitions(V.ticks(t), "prompt", V.USER, V.event_order())
+    return R.duplicate_transitions(V.ticks(t), "prompt", V.USER, V.user_order(t))
 
 
 @query(
@@ -240,7 +240,7 @@ def duplicate_transitions(t):
     "ticks",
 )
 def worst_runs(t):
-    return R.worst_runs(V.ticks(t), V.event_order(), {"tool": "tool", "prompt": "prompt"}, "user_id")
+    return R.worst_runs(V.ticks(t), V.user_order(t), {"tool": "tool", "prompt": "prompt"}, "user_id")
 
 
 @query("SELECT k, COUNT(*) AS n FROM ev GROUP BY k ORDER BY n DESC, MIN(event_id) LIMIT 10", "ev")
@@ -255,7 +255,7 @@ def first_rows(t):
 
 @query("SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS tick_idx FROM events")
 def renumbered_ticks(t):
-    return P.renumber(t.events.select("user_id", "event_id", "ts"), V.USER, V.event_order()).select("event_id", "tick_idx")
+    return P.renumber(t.events.select("user_id", "event_id", "ts"), V.USER, V.user_order(t)).select("event_id", "tick_idx")
 
 
 @query(
@@ -263,7 +263,7 @@ def renumbered_ticks(t):
     "ticks",
 )
 def rolling_calls(t):
-    rows = P.last_k(V.ticks(t), "tool", V.USER, V.event_order())
+    rows = P.last_k(V.ticks(t), "tool", V.USER, V.user_order(t))
     return rows.select("event_id", F.array_join("last_tool_calls", ",").alias("last_calls"))
 
 
@@ -278,7 +278,7 @@ _ALERT = f"""CASE WHEN tb IS NULL THEN 'episode_start' WHEN tb <> 'INTERACT' THE
     "ticks",
 )
 def decision_points(t):
-    return P.decision_points(V.ticks(t), V.USER, V.event_order(), id_col="event_id").select("event_id", "alert_reason")
+    return P.decision_points(V.ticks(t), V.USER, V.user_order(t), id_col="event_id").select("event_id", "alert_reason")
 
 
 @query(
@@ -299,7 +299,7 @@ def episode_slice(t):
     "ticks",
 )
 def reannotation_merge(t):
-    rows = P.renumber(V.ticks(t).select("user_id", "event_id", "ts", "tool", "value"), V.USER, V.event_order())
+    rows = P.renumber(V.ticks(t).select("user_id", "event_id", "ts", "tool", "value"), V.USER, V.user_order(t))
     decisions = rows.select("user_id", "tick_idx", F.struct("tool").alias("target_tool_call"))
     people = rows.filter(F.col("value") >= 20).select("user_id", "tick_idx", F.struct(F.lit("GRAB").alias("tool")).alias("tool_call"))
     merged = A.merge_reannotation(decisions, people, keys=("user_id", "tick_idx"))
@@ -323,17 +323,17 @@ _BURSTS = f"""SELECT user_id, mode AS burst_mode, axis, since, stamp, stamp - si
 
 @query(_SWITCHES, "commands")
 def mode_switches(t):
-    return C.mode_switches(V.commands(t), V.USER, V.event_order())
+    return C.mode_switches(V.commands(t), V.USER, V.user_order(t))
 
 
 @query(_REVERSALS, "commands")
 def direction_reversals(t):
-    return C.direction_reversals(V.commands(t), V.USER, V.event_order())
+    return C.direction_reversals(V.commands(t), V.USER, V.user_order(t))
 
 
 @query(f"SELECT user_id, burst_mode, axis, round(since, 3) AS start, round(seconds, 3) AS seconds FROM ({_BURSTS})", "commands")
 def bursts(t):
-    rows = C.bursts(V.commands(t), V.USER, V.event_order(), _MAX_BURST)
+    rows = C.bursts(V.commands(t), V.USER, V.user_order(t), _MAX_BURST)
     return rows.select("user_id", "burst_mode", "axis", F.round("start", 3).alias("start"), F.round("seconds", 3).alias("seconds"))
 
 
@@ -343,7 +343,7 @@ def bursts(t):
     "commands",
 )
 def active_span(t):
-    return _rounded(C.active_span(V.commands(t), V.USER, V.event_order()), 3)
+    return _rounded(C.active_span(V.commands(t), V.USER, V.user_order(t)), 3)
 
 
 PRIORS_SQL = f"""SELECT user_id, {', '.join(f"round(CASE WHEN tot > 0 THEN coalesce({m}, 0) / tot ELSE 0.0 END, 4) AS {m}_share" for m in ('translation', 'rotation', 'gripper'))},
@@ -360,7 +360,7 @@ PRIORS_SQL = f"""SELECT user_id, {', '.join(f"round(CASE WHEN tot > 0 THEN coale
 
 @query(PRIORS_SQL, "commands")
 def user_priors(t):
-    return C.user_priors(V.commands(t), V.USER, V.event_order(), _MAX_BURST)
+    return C.user_priors(V.commands(t), V.USER, V.user_order(t), _MAX_BURST)
 
 
 def _tok(salt: str) -> str:
@@ -396,7 +396,7 @@ _CHANGES = "list_sum([CASE WHEN {a}[i] <> {a}[i - 1]{more} THEN 1 ELSE 0 END for
     "poses",
 )
 def oscillation_flags(t):
-    rows = P.pose_history(V.poses(t), V.USER, V.event_order())
+    rows = P.pose_history(V.poses(t), V.USER, V.user_order(t))
     h = F.col("gripper_hist")
     return rows.select(
         "event_id",

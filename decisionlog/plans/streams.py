@@ -2,29 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from decisionlog.operators.evaluate import score
 from decisionlog.plans import views as V
 from decisionlog.plans.evaluation import _ALERT, _MAX_BURST, CONFUSION_LABELS, PRIORS_SQL
 from decisionlog.plans.registry import query
+from decisionlog.plans.views import shared_folder
 from decisionlog.streaming import jobs as J
 from decisionlog.streaming.keyed import keyed_state
 
 
-def shared_folder(spark) -> str:
-    """A new folder below the shared checkpoint directory; a folder of this machine only under a local master."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        base = tempfile.mkdtemp(prefix="decisionlog-")
-    return f"{base.rstrip('/')}/decisionlog-{uuid.uuid4().hex}"
-
-
 BATCHES = 12
 _logs: dict[tuple[str, str], str] = {}
 

@@ -6,11 +6,14 @@ holds the same views as SQL for the oracle.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from decisionlog.functions.geometry import CELLS, YAW_BINS, literal_array
-from decisionlog.operators.ordered import Order, by_number, by_time, epoch_seconds
+from decisionlog.operators.ordered import Order, balanced, by_number, by_time, epoch_seconds
 from decisionlog.operators.perturb import near_candidates
 from decisionlog.schemas import OBJECT_LABELS
 
@@ -51,6 +54,31 @@ def event_order(width_seconds: int = 86_400) -> Order:
     return by_time("ts", "event_id", width_seconds=width_seconds)
 
 
+#: rows of one user and day that a task takes at once; more are cut at their quantiles
+CROWD = 20_000
+_orders: dict[tuple[str, str], Order] = {}
+
+
+def user_order(t: Tables) -> Order:
+    """The events' order per user, crowded days cut again; the histogram is taken once per session and table."""
+    key = (t.spark.sparkContext.applicationId, t.directory)
+    if key not in _orders:
+        if not t.spark.sparkContext.getCheckpointDir():
+            t.spark.sparkContext.setCheckpointDir(shared_folder(t.spark))
+        _orders[key] = balanced(t.events, USER, event_order(), CROWD)
+    return _orders[key]
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below the shared checkpoint directory; a folder of this machine only under a local master."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        base = tempfile.mkdtemp(prefix="decisionlog-")
+    return f"{base.rstrip('/')}/decisionlog-{uuid.uuid4().hex}"
+
+
 def events(t: Tables) -> DataFrame:
     """Events with ``k`` (0..99) from their properties and the stamp in seconds."""
     e = t.events

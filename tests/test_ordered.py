@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from decisionlog.operators.ordered import by_number, position, previous, repeats, running, sum_adjacent, trailing
+from decisionlog.operators.ordered import CHUNK, balanced, by_number, by_time, in_chunks, position, previous, repeats, running, sum_adjacent, trailing
 
 
 def log(seed, n=120):
@@ -23,11 +23,12 @@ def by_key(rows):
     return groups
 
 
-@pytest.fixture(params=[(1, 7), (2, 50), (3, 5000)])
+@pytest.fixture(params=[(1, 7, None), (2, 50, None), (3, 5000, None), (4, 5000, 10), (5, 100, 3)])
 def case(request, spark):
-    seed, size = request.param
+    seed, size, crowd = request.param
     rows = log(seed)
-    return spark.createDataFrame(rows, "key string, seq int, value string").repartition(5), by_key(rows), by_number("seq", size=size)
+    df, order = spark.createDataFrame(rows, "key string, seq int, value string").repartition(5), by_number("seq", size=size)
+    return df, by_key(rows), balanced(df, ["key"], order, crowd) if crowd else order
 
 
 def test_previous(case):
@@ -68,6 +69,7 @@ def test_running_and_position(case):
 
 def test_position_without_keys(case):
     df, groups, order = case
+    order = by_number("seq", size=50) if order.cuts is not None else order
     seqs = sorted(s for items in groups.values() for s, _ in items)
     got = {r.seq: r.pos for r in position(df, [], order).collect()}
     assert got == {s: i + 1 for i, s in enumerate(seqs)}
@@ -103,10 +105,22 @@ def test_repeats(case):
 
 
 def test_null_keys(spark):
-    from decisionlog.operators.ordered import by_number, position, previous
+    from decisionlog.operators.ordered import CHUNK, balanced, by_number, by_time, in_chunks, position, previous
 
     df = spark.createDataFrame([(None if i < 20 else "k", i) for i in range(30)], "key string, seq int")
     order = by_number("seq", size=5)
     assert sorted(r.at for r in position(df, ["key"], order, "at").filter("key is null").collect()) == list(range(1, 21))
     back = {r.seq: r.old for r in previous(df, ["key"], order, {"old": "seq"}).collect()}
     assert back == {i: None if i in (0, 20) else i - 1 for i in range(30)}
+
+
+def test_a_crowded_hour_is_cut(spark):
+    """One user with 20,000 rows in one hour, most of them in a minute of it: no part has much more than its share."""
+    ts = F.timestamp_seconds(F.when(F.col("id") % 4 == 0, F.col("id") % 3600).otherwise(1800 + (F.col("id") % 60000) / 1000))
+    df = spark.range(20_000).select((F.col("id") % 50 == 0).cast("int").alias("user"), ts.alias("ts"), "id")
+    order = balanced(df, ["user"], by_time("ts", "id"), 1000)
+    sizes = [r["count"] for r in in_chunks(df, order).groupBy("user", CHUNK).count().collect()]
+    assert order.cuts.count() == 1 and sum(sizes) == 20_000 and max(sizes) < 3 * 20_000 / 64
+    numbered = position(df, ["user"], order)
+    plain = position(df, ["user"], by_time("ts", "id"))
+    assert numbered.join(plain.withColumnRenamed("pos", "p"), "id").filter("pos <> p").count() == 0
