@@ -74,9 +74,9 @@ def balanced(df: DataFrame, keys: Sequence[str], order: Order, rows: int) -> Ord
     together. The order then serves any keys that begin with ``keys`` and any rows, not only those of ``df``.
     """
     shares = [k / PARTS for k in range(1, PARTS)]
-    cells = df.select(*keys, order.chunk.alias("of_chunk"), order.at.alias("_at")).groupBy(*keys, "of_chunk")
-    crowded = cells.agg(F.count("*").alias("_n"), F.percentile_approx("_at", shares, 10_000).alias("cuts")).filter(F.col("_n") > rows)
-    cuts = crowded.select(*[F.col(k).alias(f"of_{k}") for k in keys], "of_chunk", F.array_distinct("cuts").alias("cuts"))
+    cells = df.select(*keys, order.chunk.alias("of_chunk"), order.at.alias("_chunk_at")).groupBy(*keys, "of_chunk")
+    crowded = cells.agg(F.count("*").alias("_n"), F.percentile_approx("_chunk_at", shares, 10_000).alias("_chunk_cuts")).filter(F.col("_n") > rows)
+    cuts = crowded.select(*[F.col(k).alias(f"of_{k}") for k in keys], "of_chunk", F.array_distinct("_chunk_cuts").alias("_chunk_cuts"))
     return replace(order, cuts=cuts.checkpoint())
 
 
@@ -84,9 +84,9 @@ def in_chunks(df: DataFrame, order: Order) -> DataFrame:
     """``df`` with its chunk: the order's own, and where that is crowded, a part of it."""
     if order.cuts is None:
         return df.withColumn(CHUNK, order.chunk)
-    rows = df.withColumns({CHUNK: order.chunk, "_at": order.at})
-    same = [rows[c.removeprefix("of_") if c != "of_chunk" else CHUNK].eqNullSafe(order.cuts[c]) for c in order.cuts.columns if c != "cuts"]
-    part = F.coalesce(F.size(F.filter("cuts", lambda b: b < F.col("_at"))), F.lit(0))
+    rows = df.withColumns({CHUNK: order.chunk, "_chunk_at": order.at})
+    same = [rows[c.removeprefix("of_") if c != "of_chunk" else CHUNK].eqNullSafe(order.cuts[c]) for c in order.cuts.columns if c != "_chunk_cuts"]
+    part = F.coalesce(F.size(F.filter("_chunk_cuts", lambda b: b < F.col("_chunk_at"))), F.lit(0))
     found = rows.join(order.cuts, same, "left").withColumn(CHUNK, F.struct(F.col(CHUNK).alias("chunk"), part.alias("part")))
     return found.select(*df.columns, CHUNK)
 

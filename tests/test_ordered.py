@@ -121,6 +121,8 @@ def test_a_crowded_hour_is_cut(spark):
     order = balanced(df, ["user"], by_time("ts", "id"), 1000)
     sizes = [r["count"] for r in in_chunks(df, order).groupBy("user", CHUNK).count().collect()]
     assert order.cuts.count() == 1 and sum(sizes) == 20_000 and max(sizes) < 3 * 20_000 / 64
+    named = df.withColumns({"_at": F.col("id"), "cuts": F.col("id")})  # columns of such names stay as they are
+    assert in_chunks(named, order).filter("_at <> id or cuts <> id").count() == 0 and in_chunks(named, order).columns == [*named.columns, CHUNK]
     numbered = position(df, ["user"], order)
     plain = position(df, ["user"], by_time("ts", "id"))
     assert numbered.join(plain.withColumnRenamed("pos", "p"), "id").filter("pos <> p").count() == 0
