@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from decisionlog.llm.textscan import sliced
 
 BEST = 4
-CACHE_BYTES, TEXT_BYTES = 40 << 20, 1 << 20
+CACHE_BYTES, TEXT_BYTES = 64 << 20, 2 << 20
 MARK = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _WORD = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
@@ -266,7 +266,7 @@ _ENTRY_BYTES = 330
 class _Encoder:
     def __init__(self, v: Vocabulary, n: int):
         self.v, self.n, self.cache, self.table, self.lattices = v, n, {}, _Table(v), {}
-        self.bytes, self.lattice_bytes, self.long = 0, 0, {}
+        self.bytes, self.lattice_bytes, self.long = 0, 0, []
 
     def _lattice(self, word: str) -> tuple[list, list[float]]:
         got = self.lattices.get(word)
@@ -294,11 +294,11 @@ class _Encoder:
                     if got is None:
                         ids, score, loss = best_path(w, self.v)
                         got = np.array(ids, np.int32).tobytes(), score, loss
+                    self.cache[w] = got
                     if size <= LONG_WORD:
-                        self.cache[w] = got
                         self.bytes += _ENTRY_BYTES + 2 * len(w) + len(got[0])
                     else:
-                        self.long[w] = got
+                        self.long.append(w)
 
     def encode_all(self, texts: list[str | None]) -> list[tuple[bytes, float, list[dict], bool]]:
         """Per text: best ids, their score, the next paths as edits of the best, and whether decoding gives the text back."""
@@ -308,14 +308,15 @@ class _Encoder:
             self.bytes = 0
         self.learn(set(chain.from_iterable(words)) - self.cache.keys())
         out = [self._encode(t or "", w) for t, w in zip(texts, words, strict=True)]
+        for w in self.long:
+            del self.cache[w]
         self.long.clear()
         return out
 
     def _encode(self, text: str, words: list[str]) -> tuple[bytes, float, list[dict], bool]:
         if not words:
             return b"", 0.0, [], True
-        cache, long = self.cache, self.long
-        raws, scores, losses = zip(*[cache.get(w) or long[w] for w in words], strict=True)
+        raws, scores, losses = zip(*map(self.cache.__getitem__, words), strict=True)
         raw, score, losses = b"".join(raws), sum(scores), np.array(losses)
         few = min(self.n - 1, len(words))
         at = np.sort(_smallest(losses, few)).tolist() if few else []
