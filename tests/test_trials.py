@@ -161,6 +161,53 @@ def test_scenarios_from_logs(spark, logs):
     assert {r.trial_id: r.value for r in src.scrape_metric(spark, logs, glob="llm_events.jsonl").collect()}["trial_1"] == 7
 
 
+def _listed(df):
+    return sorted(df.select(*sorted(df.columns)).collect(), key=repr)
+
+
+def test_trial_folders_as_a_source(spark, logs, tmp_path):
+    """Lines read by the data source, by a stream, and written and read again give what the text readers give."""
+    records = src.trial_records(spark, logs, slices=3)
+    for got, want in (
+        (src.documents_of(records, "summary"), src.discover_trials(spark, logs)),
+        (src.calls_of(records), src.read_calls(spark, logs).join(src.discover_trials(spark, logs).select(*S.TRIAL_KEYS), list(S.TRIAL_KEYS))),
+        (src.commands_of(records), src.read_commands(spark, logs)),
+    ):
+        assert _listed(got) == _listed(want) and got.count() > 0
+    trials = T.assemble_trials(src.documents_of(records, "summary"), src.documents_of(records, "meta"), src.calls_of(records))
+    assert trials.filter("has_meta").count() == 4 and trials.count() == 5
+
+    copy = str(tmp_path / "a b+c")
+    src.write_trials(records, copy)
+    kinds = lambda df: {(r.kind, r["count"]) for r in df.groupBy("kind").count().collect()}
+    assert kinds(src.trial_records(spark, copy)) == kinds(records)
+    assert _listed(src.calls_of(src.trial_records(spark, copy))) == _listed(src.calls_of(records))
+    assert src.trial_records(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_trial_stream(spark, tmp_path):
+    """Each trial comes once, whole, in the batch after its summary was written; a restart goes on from the last offset."""
+    root, out, state = str(tmp_path / "logs"), str(tmp_path / "out"), str(tmp_path / "state")
+
+    def rows(trial, summary):
+        lines = [("call", i, json.dumps(call([("1", "mug", "A1", False, 0.0)]))) for i in range(3)] + ([("summary", 1, "{}")] if summary else [])
+        return spark.createDataFrame([("manual", "s1", "easy", trial, k, i, x) for k, i, x in lines], "mode string, subject string, difficulty string, trial_id string, kind string, seq bigint, text string")
+
+    def go():
+        query = src.tail_trials(spark, root, settle_seconds=0).writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
+        query.awaitTermination()
+        return {(r.trial_id, r.kind): r["count"] for r in spark.read.parquet(out).groupBy("trial_id", "kind").count().collect()}
+
+    src.write_trials(rows("trial_1", True), root)
+    src.write_trials(rows("trial_2", False), root)
+    one = {("trial_1", "call"): 3, ("trial_1", "summary"): 1}
+    assert go() == one
+    src.write_trials(rows("trial_2", True), root)
+    both = one | {("trial_2", "call"): 3, ("trial_2", "summary"): 1}
+    assert go() == both
+    assert go() == both
+
+
 def test_templates_vote(spark):
     rows = [("s1", "easy", f"t{t}", p, "x", c, 0.0, False) for t, cells in enumerate([["A1", "B1"], ["A1"], ["A1", "C1"], ["C1"]]) for p, c in enumerate(cells)]
     objs = spark.createDataFrame(rows, "subject string, difficulty string, trial_id string, pos int, label string, cell string, yaw double, is_held boolean")
