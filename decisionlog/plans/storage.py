@@ -10,10 +10,12 @@ from decisionlog.functions import geometry as G
 from decisionlog.operators import contracts as C
 from decisionlog.operators import policies as B
 from decisionlog.operators import reports as S
+from decisionlog.operators import trials as T
+from decisionlog.operators.ordered import by_number
 from decisionlog.plans import views as V
 from decisionlog.plans.registry import checksum, query, sql_checksum
 from decisionlog.plans.streams import shared_folder
-from decisionlog.schemas import MAX_CHOICES
+from decisionlog.schemas import MAX_CHOICES, TRIAL_KEYS
 from decisionlog.sources import jsonl, tables, trials
 
 
@@ -200,3 +202,87 @@ def quantised_poses(t):
         F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"),
         G.yaw_bin(turn).alias("yaw"), G.cell_label(F.col("l_suppkey") % 10).alias("cell"),
     )
+
+
+_TRIALS = """trials AS (SELECT CASE WHEN c_custkey % 2 = 0 THEN 'manual' ELSE 'assistive' END AS mode, 's' || c_nationkey AS subject,
+    CASE WHEN c_custkey % 3 = 0 THEN 'hard' ELSE 'easy' END AS difficulty, 'trial_' || c_custkey AS trial_id, c_custkey AS c, c_custkey % 4 > 0 AS has_meta,
+    CASE WHEN c_custkey % 4 = 0 THEN 'log_' || c_custkey WHEN c_custkey % 8 = 1 THEN 'trial_' || c_custkey ELSE 'meta_' || c_custkey END AS logged_id FROM customer WHERE c_custkey % 10 > 0),
+calls AS (SELECT o_custkey AS c, o_orderkey AS k, coalesce(n, 0) AS n, coalesce(seen, '') AS seen, coalesce(held, 0) AS held FROM orders LEFT JOIN (SELECT order_key, COUNT(*) AS n, COUNT(*) FILTER (is_held) AS held,
+    string_agg(id || ':' || label || ':' || ['A1', 'A2', 'A3', 'B1', 'B2', 'B3', 'C1', 'C2', 'C3'][1 + ci], ',' ORDER BY slot) AS seen FROM scene_rows GROUP BY order_key) ON order_key = o_orderkey WHERE o_orderkey % 6 > 0),
+heads AS (SELECT c, CAST(COUNT(*) AS BIGINT) AS calls, CAST(SUM(n) AS BIGINT) AS objects, arg_min(seen, k) AS first_seen, CAST(arg_min(held, k) AS BIGINT) AS first_held FROM calls GROUP BY c),
+cmds AS (SELECT o_custkey AS c, CAST(COUNT(*) AS BIGINT) AS commands, CAST(SUM(CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE -1 END) AS BIGINT) AS drift FROM orders WHERE o_orderkey % 5 > 0 GROUP BY o_custkey)"""
+
+
+def _trial_records(t):
+    """A trial per customer: a call and an event per order; every tenth writes no summary, every fourth no metadata.
+
+    Every sixth call has no snapshot, every third event is wrapped, every fifth line is no object.
+    """
+    k, c = F.col("o_orderkey"), F.col("c_custkey")
+    people = t.customer.select(
+        F.when(c % 2 == 0, "manual").otherwise("assistive").alias("mode"), F.concat(F.lit("s"), F.col("c_nationkey").cast("string")).alias("subject"),
+        F.when(c % 3 == 0, "hard").otherwise("easy").alias("difficulty"), F.concat(F.lit("trial_"), c.cast("string")).alias("trial_id"), "c_custkey",
+    )
+    # what is false or empty is left out of the log
+    item = F.struct("id", "label", F.col("cell").alias("grid_label"), F.when(F.col("is_held"), True).alias("is_held"))
+    seen = V.scene_rows(t).groupBy(F.col("order_key").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.struct("slot", item.alias("o")))).alias("_o"))
+    steps = t.orders.join(seen, "o_orderkey", "left").join(people, F.col("o_custkey") == c)
+    snapshot = F.struct(F.lit(1.0).alias("stamp"), F.transform("_o", lambda x: x["o"]).alias("objects"), F.struct(F.lit("B2").alias("grid_label")).alias("gripper"))
+    call = F.struct(F.lit("INTERACT").alias("tool_name"), F.when(k % 6 > 0, snapshot).alias("state_snapshot"))
+    event = F.struct(F.lit("cartesian_velocity").alias("type"), F.lit("x").alias("axis"), F.when(k % 2 == 0, 1).otherwise(-1).alias("direction"), F.lit(True).alias("active"))
+    said = F.when(k % 5 == 0, "5").when(k % 3 == 0, F.to_json(F.struct(event.alias("parsed")))).otherwise(F.to_json(event))
+    name = lambda text: F.to_json(F.struct(F.concat(F.lit(text), c.cast("string")).alias("trial_id")))
+    given = lambda rows, kind, seq, text: rows.select(*TRIAL_KEYS, F.lit(kind).alias("kind"), seq.cast("bigint").alias("seq"), text.alias("text"))
+    meta = F.when(c % 8 == 1, F.lit('{"trial_id":"","mode":"typo"}')).otherwise(name("meta_"))
+    return (
+        given(steps, "call", k, F.to_json(call))
+        .unionByName(given(steps, "event", k, said))
+        .unionByName(given(people.filter(c % 4 > 0), "meta", F.lit(1), meta))
+        .unionByName(given(people.filter(c % 10 > 0), "summary", F.lit(1), name("log_")))
+    )
+
+
+@query(
+    f"""SELECT * FROM (WITH {_TRIALS} SELECT mode, subject, difficulty, trial_id, logged_id, has_meta, calls IS NOT NULL AS has_calls, coalesce(calls, 0) AS calls, coalesce(objects, 0) AS objects,
+    first_seen, first_held, coalesce(commands, 0) AS commands, coalesce(drift, 0) AS drift FROM trials LEFT JOIN heads USING (c) LEFT JOIN cmds USING (c))""",
+    "scene_rows",
+)
+def trial_round_trip(t):
+    """Trial folders written, found, read and put together."""
+    root = shared_folder(t.spark)
+    trials.write_trials(_trial_records(t), root)
+    store = shared_folder(t.spark)
+    trials.trial_records(t.spark, root).write.parquet(store)
+    lines = t.spark.read.parquet(store)
+    keys = list(TRIAL_KEYS)
+    calls, commands = trials.calls_of(lines), trials.commands_of(lines)
+    whole = T.assemble_trials(trials.documents_of(lines, "summary"), trials.documents_of(lines, "meta"), calls)
+    first = T.first_snapshots(calls, by_number("seq"))
+    names = F.transform("snapshot.objects", lambda o: F.concat_ws(":", o["id"], o["label"], o["grid_label"]))
+    first = first.select(*keys, F.array_join(names, ",").alias("first_seen"), F.size(F.filter("snapshot.objects", lambda o: o["is_held"])).cast("bigint").alias("first_held"))
+    counts = calls.groupBy(*keys).agg(F.count("*").alias("calls"), F.sum(F.size("state_snapshot.objects")).alias("objects"))
+    moves = commands.groupBy(*keys).agg(F.count("*").alias("commands"), F.sum("direction").cast("bigint").alias("drift"))
+    return whole.join(counts, keys, "left").join(first, keys, "left").join(moves, keys, "left").na.fill(0, ["calls", "objects", "commands", "drift"])
+
+
+@query(
+    """SELECT s AS supplier, s % 7 > 0 AND s % 11 > 0 AND s % 13 > 0 AS readable, CASE WHEN s % 7 > 0 AND s % 11 > 0 AND s % 13 > 0 THEN n END AS n,
+    CASE WHEN s % 7 > 0 AND s % 11 > 0 AND s % 13 > 0 THEN flags END AS flags FROM (SELECT s, CAST(SUM(n) AS BIGINT) AS n, string_agg(rf || '/' || ls || ':' || n, ',' ORDER BY rf, ls) AS flags
+    FROM (SELECT l_suppkey AS s, l_returnflag AS rf, l_linestatus AS ls, COUNT(*) AS n FROM lineitem GROUP BY ALL) GROUP BY s)"""
+)
+def cells_from_files(t):
+    """A result cell per supplier in a file of its own, some cut short, no object, or with text behind it."""
+    path, s = shared_folder(t.spark), F.col("l_suppkey")
+    pairs = t.lineitem.groupBy("l_suppkey", "l_returnflag", "l_linestatus").agg(_count())
+    of_flag = pairs.groupBy("l_suppkey", "l_returnflag").agg(F.map_from_entries(F.collect_list(F.struct("l_linestatus", "n"))).alias("m"), F.sum("n").alias("n"))
+    cells = of_flag.groupBy("l_suppkey").agg(F.map_from_entries(F.collect_list(F.struct("l_returnflag", "m"))).alias("tool_confusion"), F.sum("n").alias("n"))
+    name = F.struct(s.cast("string").alias("name")).alias("model")
+    text = F.to_json(F.struct(name, "n", "tool_confusion"), {"pretty": "true"})
+    broken = F.when(s % 7 == 0, F.left(text, F.length(text) - 1)).when(s % 11 == 0, "5").when(s % 13 == 0, F.concat(text, F.lit("\n}"))).otherwise(text)
+    cells.select(s.alias("supplier"), broken.alias("value")).write.partitionBy("supplier").text(path)
+    good, bad = tables.split_cells(t.spark, path, glob="part-*", recursive=True)
+    flags = F.flatten(F.transform(F.map_entries("tool_confusion"), lambda e: F.transform(F.map_entries(e["value"]), lambda f: F.concat(e["key"], F.lit("/"), f["key"], F.lit(":"), f["value"].cast("string")))))
+    good = good.select(F.col("model.name").cast("bigint").alias("supplier"), F.lit(True).alias("readable"), "n", F.array_join(F.array_sort(flags), ",").alias("flags"))
+    none = F.lit(None)
+    bad = bad.select(F.regexp_extract("file", "supplier=([0-9]+)/", 1).cast("bigint").alias("supplier"), F.lit(False).alias("readable"), none.cast("bigint").alias("n"), none.cast("string").alias("flags"))
+    return good.unionByName(bad)

@@ -8,16 +8,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from decisionlog.functions.jsontext import members, strict_json
 from decisionlog.functions.text import ratio
 from decisionlog.operators.reports import pending
 from decisionlog.schemas import CELLS
 
 
-def read_cells(spark: SparkSession, path: str) -> DataFrame:
+def read_cells(spark: SparkSession, path: str, *, glob: str = "*.json", recursive: bool = False) -> DataFrame:
     """Result cells, one JSON object per file; unreadable files are skipped."""
-    reader = spark.read.schema(f"{CELLS}, _corrupt STRING").option("multiLine", "true").option("pathGlobFilter", "*.json")
-    rows = reader.option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    return rows.filter(F.col("_corrupt").isNull()).drop("_corrupt")
+    return split_cells(spark, path, glob=glob, recursive=recursive)[0]
+
+
+def split_cells(spark: SparkSession, path: str, *, glob: str = "*.json", recursive: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Result cells and, as ``file, text``, the files that hold no JSON object.
+
+    Files are read whole, many small ones per task: Spark fills a task up to ``spark.sql.files.maxPartitionBytes``. ``NaN`` and infinite numbers are
+    read as such; text behind the object or an array make a file unreadable, an empty file gives no row at all.
+    """
+    reader = spark.read.option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", glob)
+    rows = reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+    plain = F.regexp_replace("text", r"([:\[,]\s*)-?(NaN|Infinity)\b", "$1null")
+    parsed = F.from_json("text", f"{CELLS}, _corrupt STRING", {"columnNameOfCorruptRecord": "_corrupt"})
+    ok = members(strict_json(plain)).isNotNull() & F.col("_c").isNotNull() & F.col("_c._corrupt").isNull()
+    rows = rows.withColumn("_c", parsed).withColumn("_ok", F.coalesce(ok, F.lit(False)))
+    return rows.filter("_ok").select("_c.*").drop("_corrupt"), rows.filter("NOT _ok").select("file", "text")
 
 
 def read_csv(spark: SparkSession, path: str, schema: str, *, row: str | None = None, multiline: bool = True) -> DataFrame:

@@ -167,7 +167,7 @@ def _listed(df):
 
 def test_trial_folders_as_a_source(spark, logs, tmp_path):
     """Lines read by the data source, by a stream, and written and read again give what the text readers give."""
-    records = src.trial_records(spark, logs, slices=3)
+    records = src.trial_records(spark, logs, slices=3, tasks=4)
     for got, want in (
         (src.documents_of(records, "summary"), src.discover_trials(spark, logs)),
         (src.calls_of(records), src.read_calls(spark, logs).join(src.discover_trials(spark, logs).select(*S.TRIAL_KEYS), list(S.TRIAL_KEYS))),
@@ -185,6 +185,19 @@ def test_trial_folders_as_a_source(spark, logs, tmp_path):
     assert src.trial_records(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_shares_cover_each_trial_once(tmp_path):
+    from decisionlog.sources.trialsource import _Reader
+
+    for k in range(60):
+        d = tmp_path / "manual" / ("s1" if k < 40 else f"s{k % 3 + 2}") / "easy" / f"trial_{k}"
+        d.mkdir(parents=True)
+        (d / "trial_summary.json").write_text("{}")
+    for slices, tasks in ((16, 8), (4, 64), (1, 1)):
+        reader = _Reader(str(tmp_path), slices, tasks)
+        sizes = [sum(b.num_rows for b in reader.read(p)) for p in reader.partitions()]
+        assert sum(sizes) == 60 and (slices == 1 or max(sizes) < 20)  # two thirds are one subject's
+
+
 def test_trial_stream(spark, tmp_path):
     """Each trial comes once, whole, in the batch after its summary was written; a restart goes on from the last offset."""
     root, out, state = str(tmp_path / "logs"), str(tmp_path / "out"), str(tmp_path / "state")
@@ -345,9 +358,14 @@ def test_table_sources(spark, tmp_path):
     cell = {"model": {"name": "m"}, "n": 3, "tool_accuracy": 0.5, "by_context": {"x": {"n": 2}}, "_eval_set": "e", "_model_safe": "m"}
     (tmp_path / "r").mkdir()
     (tmp_path / "r" / "a.json").write_text(json.dumps(cell, indent=2))
-    (tmp_path / "r" / "b.json").write_text("{broken")
+    for name, text in {"b": "{broken", "c": "", "d": "[1]", "e": '{"n": 1} {"n": 2}', "f": "5"}.items():
+        (tmp_path / "r" / f"{name}.json").write_text(text)
     rows = tables.read_cells(spark, str(tmp_path / "r")).collect()
     assert len(rows) == 1 and rows[0].by_context == {"x": {"n": 2}}
+    (tmp_path / "r" / "g.json").write_text('{"n": 4, "tool_accuracy": NaN}')
+    good, bad = tables.split_cells(spark, str(tmp_path / "r"))
+    assert sorted(r.n for r in good.collect()) == [3, 4]
+    assert sorted(r.file[-6:] for r in bad.collect()) == ["b.json", "d.json", "e.json", "f.json"]  # Spark reads an empty file as no row
     df = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     path = str(tmp_path / "t")
     tables.append_new(df.filter("k = 1"), path, ["k"])
