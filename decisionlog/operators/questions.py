@@ -204,6 +204,40 @@ def information_gain(
     return rows.withColumn("ig_bits", gain).select(*df.columns, "h_before_bits", "h_after_expected_bits", "ig_bits", "per_reply")
 
 
+def reply_profile(df: DataFrame, question: str = "question", live: str = "live") -> DataFrame:
+    """Add struct ``profile`` <live, choices, settled, left>: all that a question's gain under alike replies depends on. Needs ``intent``.
+
+    ``settled`` replies leave one candidate, at most one reply leaves ``left`` of them (null: none does), every other leaves all ``live``.
+    """
+    intent, kept = F.col("intent"), F.col(live)
+    n = F.size(_filled(f"{question}.choices"))
+    target = F.get(intent["targets"], F.lit(0))
+    confirm, choice = intent["kind"] == "binary_confirm", intent["kind"] == "candidate_choice"
+    inside = lambda i: i.isNotNull() & (i >= 0) & (i < n)
+    agreed = inside(intent["yes_idx"]) & F.array_contains(kept, target)
+    named = F.size(F.filter(intent["picks"], lambda p: F.array_contains(kept, p["obj"])))
+    refused = inside(intent["no_idx"]) & ~F.coalesce(intent["no_idx"] == intent["yes_idx"], F.lit(False))
+    without = F.when(refused, F.size(F.filter(kept, lambda c: c != target)))
+    rest = F.when(inside(intent["none_idx"]), F.size(F.filter(kept, lambda c: ~F.array_contains(intent["targets"], c))))
+    found = F.struct(
+        F.size(kept).alias("live"),
+        n.alias("choices"),
+        F.when(confirm, F.coalesce(agreed, F.lit(False)).cast("int")).when(choice, named).otherwise(0).alias("settled"),
+        F.when(confirm, without).when(choice, rest).alias("left"),
+    )
+    return df.withColumn("profile", found)
+
+
+def profile_gain(df: DataFrame, profile: str = "profile") -> DataFrame:
+    """``h_before_bits``, ``h_after_expected_bits`` and ``ig_bits`` in closed form from a question's profile (B7, alike replies)."""
+    p = F.col(profile)
+    before, has_left = entropy_bits(p["live"]), p["left"].isNotNull().cast("int")
+    whole = p["choices"] - p["settled"] - has_left
+    after = (whole * before + F.when(p["left"].isNotNull(), entropy_bits(p["left"])).otherwise(0.0)) / p["choices"]
+    rows = df.withColumns({"h_before_bits": before, "h_after_expected_bits": F.when(p["choices"] > 0, after).otherwise(before)})
+    return rows.withColumn("ig_bits", F.greatest(F.col("h_before_bits") - F.col("h_after_expected_bits"), F.lit(0.0)))
+
+
 def question_kind(kind: Column) -> Column:
     """One of the three question kinds, else ``OTHER``."""
     named = F.upper(F.coalesce(kind, F.lit("")))
@@ -216,7 +250,8 @@ def score_contract_ig(contract: DataFrame, prior: str = "uniform") -> DataFrame:
     ``contract`` holds ``obs`` and the typed true call ``gt_call``; bits are rounded to six digits.
     """
     asked = contract.filter(F.col("gt_call.tool") == "INTERACT").withColumn("question", F.col("gt_call.args"))
-    scored = information_gain(classify_questions(live_candidates(asked)), prior)
+    rows = classify_questions(live_candidates(asked))
+    scored = profile_gain(reply_profile(rows)) if prior == "uniform" else information_gain(rows, prior)
     return scored.select(
         *contract.columns,
         question_kind(F.col("question.kind")).alias("interact_kind"),

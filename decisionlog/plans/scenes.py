@@ -310,6 +310,20 @@ def _alternatives(t):
     return rows.select("id", "customer", "obs", F.posexplode(each).alias("sample_idx", "question"))
 
 
+def _gains(t):
+    """The selectors' gains per scene: what :func:`question_log` scores, without the log's own fields."""
+    # of a scene, questions read names and candidates only
+    rows = _alternatives(t).withColumn("obs", F.struct(F.transform("obs.objects", lambda o: F.struct(o["id"].alias("id"), o["label"].alias("label"))).alias("objects"), "obs.memory"))
+    long = Q.profile_gain(Q.reply_profile(Q.classify_questions(Q.live_candidates(rows))))
+    call = F.struct(F.struct("question.kind", "question.choices").alias("args"))
+    item = F.struct("sample_idx", call.alias("tool_call"), "ig_bits")
+    # three questions per scene
+    rows = long.groupBy("id").agg(F.array_sort(F.collect_list(item)).alias("candidates"), F.any_value("profile.live").alias("n_candidates_before"))
+    rows = Q.select_question(rows, "info_gain", id_cols=("id",))
+    taken = F.get("candidates", F.col("picked"))
+    return Q.selector_scores(rows.withColumns({"ig_bits": taken["ig_bits"], "interact_kind": F.upper(taken["tool_call"]["args"]["kind"])}))
+
+
 def question_log(t, selector="info_gain"):
     """Logged questions of all scenes, one per order, in order of the customer's orders."""
     long = Q.information_gain(Q.classify_questions(Q.live_candidates(_alternatives(t))))
@@ -340,28 +354,28 @@ _LONG = f"""SELECT selector, round(ig_bits, 6) AS ig_bits, n FROM (SELECT n, unn
 
 @query(f"SELECT selector, COUNT(*) AS n, round(AVG(ig_bits), 4) AS mean, round(MEDIAN(ig_bits), 4) AS median, round(AVG(CASE WHEN ig_bits >= 0.5 THEN 1.0 ELSE 0.0 END), 4) AS frac_ge_gate FROM ({_LONG}) GROUP BY selector", "scene_heads", "menus")
 def ig_stats(t):
-    return Q.ig_stats(Q.selector_scores(question_log(t)), ["selector"])
+    return Q.ig_stats(_gains(t), ["selector"])
 
 
 @query(f"SELECT selector, COUNT(*) AS n, round(AVG(ig_bits), 5) AS mean_ig FROM ({_LONG}) GROUP BY selector", "scene_heads", "menus")
 def selector_compare(t):
-    s = Q.selector_scores(question_log(t))
+    s = _gains(t)
     return s.groupBy("selector").agg(F.count("*").alias("n"), F.round(F.avg("ig_bits"), 5).alias("mean_ig"))
 
 
 @query(f"SELECT selector, CAST(least(floor(round(least(ig_bits, 2.0) / 0.05, 9)), 39) AS INT) AS bin, COUNT(*) AS n FROM ({_LONG}) GROUP BY 1, 2", "scene_heads", "menus")
 def ig_histogram(t):
-    return Q.ig_histogram(Q.selector_scores(question_log(t)), ["selector"], multi_candidate_only=False).select("selector", "bin", "n")
+    return Q.ig_histogram(_gains(t), ["selector"], multi_candidate_only=False).select("selector", "bin", "n")
 
 
 @query(f"SELECT selector, bin, n, round(n / SUM(n) OVER (PARTITION BY selector) / 0.25, 6) AS density FROM (SELECT selector, CAST(floor(round(ig_bits / 0.25, 9)) AS INT) AS bin, COUNT(*) AS n FROM ({_LONG}) GROUP BY 1, 2)", "scene_heads", "menus")
 def ig_density(t):
-    return _rounded(Q.ig_histogram(Q.selector_scores(question_log(t)), ["selector"], 0.25, 4.0, density=True).select("selector", "bin", "n", "density"))
+    return _rounded(Q.ig_histogram(_gains(t), ["selector"], 0.25, 4.0, density=True).select("selector", "bin", "n", "density"))
 
 
 @query(f"SELECT COUNT(*) AS n, round(AVG(ig_bits), 5) AS mean_ig_bits, round(MEDIAN(ig_bits), 5) AS median_ig_bits, round(AVG(CASE WHEN ig_bits > 0 THEN 1.0 ELSE 0.0 END), 5) AS frac_gt_0 FROM ({_LONG}) WHERE selector = 'chosen' AND n > 1", "scene_heads", "menus")
 def ig_overview(t):
-    s = Q.selector_scores(question_log(t)).filter("selector = 'chosen' and n_candidates_before > 1")
+    s = _gains(t).filter("selector = 'chosen' and n_candidates_before > 1")
     return _rounded(Q.ig_overview(s).select("n", "mean_ig_bits", "median_ig_bits", "frac_gt_0"), 5)
 
 

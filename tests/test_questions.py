@@ -105,6 +105,25 @@ def test_gain_against_enumeration(spark, prior):
         assert [set(r.candidates) for r in row.replies] == after
 
 
+def test_closed_form_gain(spark):
+    """Gains from profiles equal those summed over replies, for repeated candidates, foreign targets, and questions without choices too."""
+    rng = random.Random(8)
+    cases = []
+    for _ in range(150):
+        labels = rng.sample(["mug", "box", "can", "cup", "jar"], rng.randint(1, 5))
+        cands = [rng.choice([f"o{i}" for i in range(len(labels))]) for _ in range(rng.randint(0, 6))]
+        listed = [f"{i + 1}) {x}" for i, x in enumerate(rng.sample(labels, rng.randint(1, len(labels))) + ["None of them", "?"][: rng.randint(0, 2)])]
+        choices = rng.choice([[], ["1) YES", "2) NO"], ["1) no", "2) maybe", "3) yes"], listed, listed])
+        cases.append((labels, cands, rng.sample(cands, min(1, len(cands))) if rng.random() < 0.3 else [], f"the {rng.choice(labels)}?", choices))
+    df = Q.classify_questions(Q.live_candidates(table(spark, cases).withColumn("question", F.col("gt_call.args"))))
+    columns = ["id", "intent.kind", "h_before_bits", "h_after_expected_bits", "ig_bits"]
+    want = Q.information_gain(df).select(*columns).orderBy("id").collect()
+    got = Q.profile_gain(Q.reply_profile(df)).select(*columns).orderBy("id").collect()
+    assert {r.kind for r in want} == {"candidate_choice", "binary_confirm", "noop"}
+    for a, b in zip(got, want, strict=True):
+        assert tuple(a)[:2] == tuple(b)[:2] and tuple(a)[2:] == pytest.approx(tuple(b)[2:], abs=1e-12), cases[a.id]
+
+
 def test_entropy(spark):
     row = spark.range(1).select(
         *[Q.entropy_bits(F.lit(n)).alias(f"n{n}") for n in (0, 1, 2, 4)],
