@@ -11,6 +11,7 @@ import pytest
 
 from decisionlog.llm import components, decontaminate, jaccard, packing, pieces, quality, queries, sharding, substrings, suffixes, url_filter, warc  # noqa: F401
 from decisionlog.llm.shared import shared_folder
+from decisionlog.llm.textscan import mix
 from tests.llm import brute
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_words int, ids string, component_id string"
@@ -243,6 +244,29 @@ def test_sharding(spark, docs):
         sharding.lookup_table(shards, 1000)
 
 
+def test_sharding_table_by_hand():
+    """Owners against a fill with whole permutations and plain integers, and placement from name to shard."""
+
+    def drawn(name, salt):
+        value = salt
+        for byte in name.encode():
+            value = int(mix(np.array([(value + byte + 1) % 2**64], np.uint64))[0])
+        return value
+
+    def fill(names, slots):
+        orders = [[(drawn(s, 11) + k * (drawn(s, 23) % (slots - 1) + 1)) % slots for k in range(slots)] for s in names]
+        assert all(sorted(o) == list(range(slots)) for o in orders)  # a prime size: each order is a permutation
+        owner = {}
+        while len(owner) < slots:
+            for shard, order in enumerate(orders):
+                if len(owner) < slots:
+                    owner[next(x for x in order if x not in owner)] = shard
+        return [owner[x] for x in range(slots)]
+
+    for names, slots in ((["a", "b", "c"], 307), (["only"], 101), ([f"shard-{k}" for k in range(9)], 1009), (["é", "", " "], 401)):
+        assert sharding.lookup_table(names, slots).tolist() == fill(names, slots)
+
+
 def test_n_best(spark, docs, texts):
     v = pieces.load_vocabulary()
     encoder = pieces._Encoder(v, 4)
