@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from decisionlog.functions.bind import let, once
 from decisionlog.functions.geometry import MODES, literal_array
 from decisionlog.functions.jsontext import as_text, is_text, items, member, members, strict_json
 from decisionlog.functions.text import strip
@@ -157,14 +158,13 @@ def unify_dialogs(turns: Column, n: int = DIALOG_WINDOW) -> Column:
 
 def normalize_contract(df: DataFrame) -> DataFrame:
     """Fixed-shape contract rows (P5): nine object keys, seven memory keys, mode ``translation``, arguments per tool."""
-    rows = df.withColumn("_in", members(strict_json(F.col("input")))).withColumn("_out", members(strict_json(F.col("output"))))
-    rows = rows.withColumn("_mem", members(member(F.col("_in"), "memory")))
-    rows = rows.withColumn("_args", members(member(F.col("_out"), "args")))
+    rows = once(df, {"_in": members(strict_json(F.col("input"))), "_out": members(strict_json(F.col("output")))})
+    rows = once(rows, {"_mem": members(member(F.col("_in"), "memory")), "_args": members(member(F.col("_out"), "args"))})
     none = F.array().cast("array<variant>")
     empty = F.parse_json(F.lit("{}"))
 
     def shaped(value: Column) -> Column:
-        return F.struct(*[member(members(value), k).alias(k) for k in _OBJECT_KEYS])
+        return let(members(value), lambda m: F.struct(*[member(m, k).alias(k) for k in _OBJECT_KEYS]))
 
     def logged(name: str) -> Column:
         return F.coalesce(items(member(F.col("_mem"), name)), none)
@@ -177,14 +177,16 @@ def normalize_contract(df: DataFrame) -> DataFrame:
         return F.when(~(value.isNull() | (F.schema_of_variant(value) == "VOID")), as_text(value))
 
     def typed_turn(value: Column) -> Column:
-        t = members(value)
-        both = F.map_contains_key(t, F.lit("role")) & F.map_contains_key(t, F.lit("content"))
-        return F.struct(
-            F.when(both, as_text(member(t, "role"))).alias("role"),
-            F.when(both, as_text(member(t, "content"))).alias("content"),
-            word(member(t, "prompt")).alias("prompt"),
-            word(member(t, "reply")).alias("reply"),
-        )
+        def typed(t: Column) -> Column:
+            both = F.map_contains_key(t, F.lit("role")) & F.map_contains_key(t, F.lit("content"))
+            return F.struct(
+                F.when(both, as_text(member(t, "role"))).alias("role"),
+                F.when(both, as_text(member(t, "content"))).alias("content"),
+                word(member(t, "prompt")).alias("prompt"),
+                word(member(t, "reply")).alias("reply"),
+            )
+
+        return let(members(value), typed)
 
     memory = F.struct(
         F.coalesce(F.try_variant_get(member(F.col("_mem"), "n_interactions"), "$", "bigint"), F.lit(0)).alias("n_interactions"),
@@ -273,7 +275,7 @@ def validate_contract(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Split contract rows into (ok, violations) (V1): four texts present and an ``output`` of strict JSON."""
     rules = [F.when(F.col(k).isNull(), F.lit(f"missing {k}")) for k in CONTRACT_KEYS]
     rules.append(F.when(F.col("output").isNotNull() & strict_json(F.col("output")).isNull(), F.lit("output is not JSON")))
-    marked = df.withColumn("violations", F.filter(F.array(*rules), lambda r: r.isNotNull()))
+    marked = once(df, {"violations": F.filter(F.array(*rules), lambda r: r.isNotNull())})
     return marked.filter(F.size("violations") == 0).drop("violations"), marked.filter(F.size("violations") > 0)
 
 

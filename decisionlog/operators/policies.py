@@ -11,7 +11,7 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from decisionlog.functions.bind import let
+from decisionlog.functions.bind import let, once
 from decisionlog.functions.geometry import cell_distance
 from decisionlog.functions.text import strip
 
@@ -78,7 +78,7 @@ def _confirm(obj_id: Column) -> Column:
 
 
 def _answer(df: DataFrame, rows: DataFrame, pred: Column) -> DataFrame:
-    return rows.select(*[c for c in df.columns if c != "pred"], pred.alias("pred"))
+    return once(rows, {"pred": pred}).select(*[c for c in df.columns if c != "pred"], "pred")
 
 
 def ask_if_ambiguous(df: DataFrame) -> DataFrame:
@@ -215,7 +215,8 @@ def motion_shares(ids: Column, objects: Column, history: Column, beta: float = 1
 def motion_prior(df: DataFrame, beta: float = 1.5, dir_w: float = 0.5, name: str = "prior") -> DataFrame:
     """Add the motion-weighted prior as ``[{id, p}]``."""
     shares = motion_shares(F.col("obs.memory.candidates"), F.col("obs.objects"), F.col("obs.gripper_hist"), beta, dir_w)
-    return df.withColumn(name, F.transform(shares, lambda s: F.struct(s["id"].alias("id"), s["p"].alias("p"))))
+    found = once(df, {name: F.transform(shares, lambda s: F.struct(s["id"].alias("id"), s["p"].alias("p")))})
+    return found.select(*[c for c in df.columns if c != name], name)
 
 
 POLICIES: Mapping[str, Callable[[DataFrame], DataFrame]] = {

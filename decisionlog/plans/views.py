@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from decisionlog.functions.bind import once
 from decisionlog.functions.geometry import CELLS, YAW_BINS, literal_array
 from decisionlog.operators.ordered import Order, balanced, by_number, by_time, epoch_seconds
 from decisionlog.operators.perturb import near_candidates
@@ -35,6 +36,14 @@ class Tables:
         return self.spark.read.parquet(f"{self.directory}/{name}.parquet")
 
 
+class Spread(Tables):
+    """The same with the events dealt out by rows: their file is small for the work on a row, and a scan's tasks go by bytes."""
+
+    @property
+    def events(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.directory}/events.parquet").repartition("event_id", "ts")
+
+
 class Furnished(Tables):
     """The same where scenes are of orders with line items only, as some of the oracle SQL has them."""
 
@@ -234,12 +243,12 @@ def scenes(t: Tables) -> DataFrame:
     c, k = F.col("customer"), F.col("order_key")
     pose = lambda i: F.struct(slot(CELLS, c + i * (k % 4)).alias("cell"), slot(YAW_BINS, c + i).alias("yaw"), slot(("HIGH", "MID", "LOW"), k).alias("z"))
     rows = o.join(objects, "order_key", "inner" if t.furnished else "left")
-    rows = rows.withColumn("objects", F.coalesce("objects", F.array().cast(objects.schema["objects"].dataType)))
-    rows = rows.withColumn("gripper_hist", F.array(*[pose(i) for i in range(6)]))
+    # policies and questions read these many times over
+    rows = once(rows, {"objects": F.coalesce("objects", F.array().cast(objects.schema["objects"].dataType)), "gripper_hist": F.array(*[pose(i) for i in range(6)])})
+    rows = once(rows, {"_near": near_candidates(F.col("objects"), F.get("gripper_hist", F.lit(5))["cell"], 2)})
     gone = F.when(k % 5 == 0, F.array(F.lit("obj_1"))).otherwise(F.array().cast("array<string>"))
-    near = near_candidates(F.col("objects"), F.get("gripper_hist", F.lit(5))["cell"], 2)
     mode = F.when(F.col("status") == "F", "translation").when(F.col("status") == "O", "rotation").otherwise("gripper")
-    memory = F.struct(near.alias("candidates"), gone.alias("excluded_obj_ids"))
+    memory = F.struct(F.col("_near").alias("candidates"), gone.alias("excluded_obj_ids"))
     obs = F.struct("objects", "gripper_hist", memory.alias("memory"), F.struct(mode.alias("mode")).alias("user_state"))
     return rows.select(k.alias("id"), "customer", "status", "priority", obs.alias("obs"))
 
