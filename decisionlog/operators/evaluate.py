@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from decisionlog.functions.bind import let
+from decisionlog.functions.bind import let, once
 from decisionlog.functions.jsontext import strict_json
 from decisionlog.functions.text import ratio
 from decisionlog.operators.perturb import NOISE_LEVELS, at_levels
@@ -52,12 +52,13 @@ def score(
     count in ``n`` and nowhere else.
     """
     rows = first_values(df, raw, "_pred", "_cut")
-    rows = rows.withColumns(
+    rows = once(
+        rows,
         {
             "gt": describe_call(strict_json(F.col(truth)), normalise=normalise),
             "pred": describe_call(F.col("_pred"), normalise=normalise),
             "_missing": F.col(raw).isNull(),
-        }
+        },
     )
     return _score_calls(rows, df.columns, ignore_text)
 
@@ -76,7 +77,7 @@ def score_counted(df: DataFrame, dims: Sequence[str] = (), *, truth: str = "outp
 
 def _score_calls(rows: DataFrame, columns: Sequence[str], ignore_text: bool) -> DataFrame:
     both = F.struct("gt", "pred", "_missing", (F.size(call_violations(F.col("pred"))) == 0).alias("valid"))
-    rows = rows.withColumn("_s", let(both, lambda x: _flags(x["gt"], x["pred"], x["_missing"], x["valid"], ignore_text)))
+    rows = once(rows, {"_s": let(both, lambda x: _flags(x["gt"], x["pred"], x["_missing"], x["valid"], ignore_text))})
     return rows.select(*columns, "_s.gt_tool", "_s.pred_tool", "_s.pred_labels", "_s.error_type", "gt", "pred", *[f"_s.{c}" for c in COUNTERS])
 
 
@@ -125,10 +126,18 @@ def _flags(gt: Column, pred: Column, missing: Column, valid: Column, ignore_text
 
 def score_typed(df: DataFrame, truth: str = "gt_call", pred: str = "pred") -> DataFrame:
     """The same for typed calls, such as a policy's answers."""
-    fields = {c: df.select(f"{c}.args.*").columns for c in (truth, pred)}
-    rows = df.withColumns({"_gt": describe_typed(F.col(truth), fields[truth]), "_given": describe_typed(F.col(pred), fields[pred]), "_missing": F.col(pred).isNull()})
+    return _score_described(_described(df, truth), pred)
+
+
+def _described(df: DataFrame, call: str) -> DataFrame:
+    """``df`` with the description of its true calls, ``_gt``."""
+    return once(df, {"_gt": describe_typed(F.col(call), df.select(f"{call}.args.*").columns)})
+
+
+def _score_described(df: DataFrame, pred: str) -> DataFrame:
+    rows = once(df, {"_given": describe_typed(F.col(pred), df.select(f"{pred}.args.*").columns), "_missing": F.col(pred).isNull()})
     rows = rows.drop(*{"gt", "pred"} & set(df.columns)).withColumnsRenamed({"_gt": "gt", "_given": "pred"})
-    return _score_calls(rows, [c for c in df.columns if c not in ("gt", "pred")], True)
+    return _score_calls(rows, [c for c in df.columns if c not in ("gt", "pred", "_gt")], True)
 
 
 def count_scores(scored: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -240,8 +249,9 @@ def robustness_curve(
     ``df`` holds ``obs`` and the true call ``gt_call``; rows without either are skipped.
     """
     usable = df.filter(F.col("obs").isNotNull() & F.col("gt_call").isNotNull())
-    noisy = perturb(at_levels(usable, levels), F.col("noise_level"), seed)
-    totals = count_scores(score_typed(policy(noisy)), [*keys, "noise_level"])
+    # the truth is the same at all levels
+    noisy = perturb(at_levels(_described(usable, "gt_call").drop("gt_call"), levels), F.col("noise_level"), seed)
+    totals = count_scores(_score_described(policy(noisy), "pred"), [*keys, "noise_level"])
     percent = lambda a, b: F.round(ratio(F.col(a), F.col(b)) * 100, 2)
     return totals.select(
         *keys,

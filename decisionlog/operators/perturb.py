@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from decisionlog.functions.bind import let
+from decisionlog.functions.bind import let, once
 from decisionlog.functions.draw import draw, pick, uniform
 from decisionlog.functions.geometry import cell_distance, cell_neighbours, literal_array, yaw_neighbours
 from decisionlog.schemas import OBJECT_LABELS
@@ -42,7 +42,8 @@ def at_levels(df: DataFrame, levels: Sequence[float] = NOISE_LEVELS, name: str =
 
 
 def _hit(token: Column, p: Probability) -> Column:
-    return uniform(token) < (p if isinstance(p, Column) else F.lit(float(p)))
+    rate = p if isinstance(p, Column) else F.lit(float(p))
+    return (rate > 0) & (uniform(token) < rate)  # no draw where nothing can happen
 
 
 def _token(row_id: Column, salt: str, seed: int, index: Column) -> Column:
@@ -72,7 +73,7 @@ def _changed(df: DataFrame, obs: str, change: Callable[[Column], Column], radius
         near = near_candidates(o["objects"], _current_cell(o["gripper_hist"]), radius)
         return o.withField("memory", o["memory"].withField("candidates", near))
 
-    return df.withColumn(obs, let(let(F.col(obs), change), refreshed))
+    return once(df, {obs: let(let(F.col(obs), change), refreshed)}).select(*df.columns)
 
 
 def _jittered(history: Column, row_id: Column, p: Probability, seed: int, *, yaw: bool) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from decisionlog.functions.bind import let
 from decisionlog.functions.geometry import literal_array
 from decisionlog.functions.jsontext import as_text, is_text, items, member, members, strict_json
-from decisionlog.functions.text import is_digits, strip
+from decisionlog.functions.text import strip
 from decisionlog.schemas import ALL_TOOLS, ENV_SKILLS, INTERACT_KINDS, MAX_CHOICES, MOTION_TOOLS, POUR_AMOUNTS
 
 OBJECT_ARG_TOOLS = ("APPROACH", "ALIGN_YAW", "STACK", "GRAB")
@@ -117,21 +117,34 @@ def describe_typed(call: Column, fields: Sequence[str]) -> Column:
     """
 
     def described(c: Column) -> Column:
-        args = c["args"]
-        text = lambda f: args[f].cast("string") if f in fields else F.lit(None).cast("string")
+        read = F.struct(F.upper(strip(c["tool"])).alias("tool"), F.upper(strip(text(c["args"], "kind"))).alias("named"))
+        return let(let(read, lambda r: shapes(c, r)), lambda s: body(c, s))
+
+    def text(args: Column, f: str) -> Column:
+        return args[f].cast("string") if f in fields else F.lit(None).cast("string")
+
+    def shapes(c: Column, r: Column) -> Column:
+        args, tool, named = c["args"], r["tool"], r["named"]
         choices = args["choices"] if "choices" in fields else F.lit(None).cast("array<string>")
-        tool = F.upper(strip(c["tool"]))
         asked = F.coalesce((tool == "INTERACT") & args.isNotNull(), F.lit(False))
-        moved = F.coalesce(tool.isin(*MOTION_TOOLS) & args.isNotNull(), F.lit(False))
-        named = F.upper(strip(text("kind")))
-        kind = F.when(asked, F.when(named.isin(*INTERACT_KINDS), named).otherwise("QUESTION")).otherwise(text("kind"))
-        listed = F.when(asked, F.coalesce(choices, F.array().cast("array<string>"))).otherwise(choices)
-        words = F.when(asked, F.coalesce(text("text"), F.lit(""))).otherwise(text("text"))
+        return F.struct(
+            tool.alias("tool"),
+            choices.alias("choices"),
+            asked.alias("asked"),
+            F.coalesce(tool.isin(*MOTION_TOOLS) & args.isNotNull(), F.lit(False)).alias("moved"),
+            F.when(asked, F.when(named.isin(*INTERACT_KINDS), named).otherwise("QUESTION")).otherwise(text(args, "kind")).alias("kind"),
+            F.when(asked, F.coalesce(choices, F.array().cast("array<string>"))).otherwise(choices).alias("listed"),
+            F.when(asked, F.coalesce(text(args, "text"), F.lit(""))).otherwise(text(args, "text")).alias("words"),
+        )
+
+    def body(c: Column, s: Column) -> Column:
+        args = c["args"]
+        tool, choices, asked, moved, kind, listed, words = (s[f] for f in ("tool", "choices", "asked", "moved", "kind", "listed", "words"))
         present = F.array(*[F.when(args[f].isNotNull(), F.lit(f)) for f in sorted(fields)])
         own = F.when(asked, literal_array(("choices", "kind", "text"))).when(moved, literal_array(("obj",))).otherwise(F.filter(present, lambda x: x.isNotNull()))
         sep, gone = F.lit("\u0001"), F.lit("\u0002")
         question = F.concat(kind, sep, F.array_join(listed, "\u0003"))
-        rest = F.when(moved, F.coalesce(text("obj"), gone)).otherwise(F.concat(*[F.concat(F.coalesce(text(f), gone), sep) for f in ("kind", "text", "obj", "amount")], F.coalesce(F.array_join(listed, "\u0003"), gone)))
+        rest = F.when(moved, F.coalesce(text(args, "obj"), gone)).otherwise(F.concat(*[F.concat(F.coalesce(text(args, f), gone), sep) for f in ("kind", "text", "obj", "amount")], F.coalesce(F.array_join(listed, "\u0003"), gone)))
         return F.struct(
             c.isNotNull().alias("valid_json"),
             c.isNotNull().alias("is_object"),
@@ -140,12 +153,12 @@ def describe_typed(call: Column, fields: Sequence[str]) -> Column:
             F.when(args.isNotNull(), own).alias("arg_keys"),
             kind.alias("kind"),
             words.alias("text"),
-            (asked | text("text").isNotNull()).alias("text_ok"),
+            (asked | text(args, "text").isNotNull()).alias("text_ok"),
             listed.alias("choices"),
             (asked | choices.isNotNull()).alias("choices_ok"),
-            text("obj").alias("obj"),
-            text("obj").isNotNull().alias("obj_ok"),
-            text("amount").alias("amount"),
+            text(args, "obj").alias("obj"),
+            text(args, "obj").isNotNull().alias("obj_ok"),
+            text(args, "amount").alias("amount"),
             F.when(asked, F.concat(question, sep, words)).otherwise(rest).alias("body"),
             F.when(asked, question).otherwise(rest).alias("body_without_text"),
         )
@@ -176,7 +189,8 @@ def _broken_rules(call: Column, env: Column | None) -> Column:
     def keys_are(*names: str) -> Column:
         return args == literal_array(names)
 
-    numbered = F.forall(call["choices"], lambda c: F.coalesce(is_digits(F.get(F.split(c, r"\)", 2), F.lit(0))), F.lit(False)))
+    # digits up to the first bracket, or all through
+    numbered = F.forall(call["choices"], lambda c: F.coalesce(c.rlike(r"^\p{Nd}+(?:\)|\z)"), F.lit(False)))
     n_choices = F.coalesce(F.size(call["choices"]), F.lit(0))
     has_choices = call["choices"].isNotNull() & call["choices_ok"] & (n_choices > 0)
     asked, moved, poured = asks & has_args, tool.isin(*OBJECT_ARG_TOOLS) & has_args, (tool == "POUR") & has_args
