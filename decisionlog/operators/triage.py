@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from decisionlog.functions.bind import let
+from decisionlog.functions.bind import let, once
 from decisionlog.functions.jsontext import as_text, items, member, members, strict_json
 from decisionlog.functions.text import strip
 from decisionlog.schemas import INTERACT_KINDS
@@ -55,10 +55,10 @@ def first_values(df: DataFrame, raw: str, value: str, cut: str) -> DataFrame:
 
     ``cut`` is null where the whole text is strict JSON; ``value`` is null where neither is.
     """
-    rows = df.withColumn("_strict", strict_json(F.col(raw)))
+    rows = once(df, {"_strict": strict_json(F.col(raw))})
     failed = F.when(F.col("_strict").isNull() & F.contains(F.col(raw), F.lit("{")), F.col(raw))
     rows = rows.withColumn(cut, first_object(failed))
-    return rows.withColumn(value, F.coalesce("_strict", strict_json(F.col(cut)))).drop("_strict")
+    return once(rows, {value: F.coalesce("_strict", strict_json(F.col(cut)))}).drop("_strict")
 
 
 def parse_questions(df: DataFrame, raw: str, *, out: str = "question") -> DataFrame:

@@ -39,7 +39,7 @@ def _rounded(df, digits=6):
 
 
 def scored(t):
-    return E.score(V.logged_calls(t))
+    return E.score(V.logged_calls(V.Spread(t.spark, t.directory)))
 
 
 def counted(t, *dims):
