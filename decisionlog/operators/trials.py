@@ -175,9 +175,11 @@ def inherit_layout(trials: DataFrame, templates: DataFrame, fallbacks: DataFrame
     """
     own = templates.select("subject", "difficulty", F.struct("objects", "gripper_init", "n_source_trials").alias("_own"))
     pooled = fallbacks.select("difficulty", F.struct("objects", "gripper_init", "n_source_trials").alias("_pooled"))
-    rows = trials.join(own, ["subject", "difficulty"], "left").join(pooled, "difficulty", "left")
-    rows = rows.withColumn("_layout", F.coalesce("_own", "_pooled"))
-    origin = F.when(F.col("_own").isNotNull(), F.lit("own")).otherwise(F.lit("pooled"))
+    # found once per subject and difficulty: trials are joined a single time, as narrow as they come
+    places = trials.select("subject", "difficulty").distinct().join(own, ["subject", "difficulty"], "left").join(pooled, "difficulty", "left")
+    places = places.select(F.col("subject").alias("_subject"), F.col("difficulty").alias("_difficulty"), F.coalesce("_own", "_pooled").alias("_layout"), F.col("_own").isNotNull().alias("_has_own"))
+    rows = trials.join(places, F.col("subject").eqNullSafe(F.col("_subject")) & F.col("difficulty").eqNullSafe(F.col("_difficulty")), "left")
+    origin = F.when(F.col("_has_own"), F.lit("own")).otherwise(F.lit("pooled"))
     notes = F.format_string("template=%s, trials=%d", origin, F.col("_layout.n_source_trials"))
     found = rows.filter(F.col("_layout").isNotNull())
     placed = found.select(*trials.columns, "_layout.objects", "_layout.gripper_init", notes.alias("notes"))
