@@ -22,6 +22,9 @@ from decisionlog.operators.poses import alert_reason
 from decisionlog.operators.questions import state_hash
 from decisionlog.streaming.keyed import TOTALS, PreviousRow, Priors
 
+#: buckets that keys with state are dealt to
+KEY_BUCKETS = 128
+
 
 def tail(spark: SparkSession, path: str, schema, fmt: str = "json", *, glob: str | None = None, files_per_batch: int | None = None) -> DataFrame:
     """A growing log directory as a stream (R1); ``files_per_batch`` bounds a micro-batch."""
@@ -124,19 +127,20 @@ def _ddl(df: DataFrame, columns: Sequence[str]) -> str:
     return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
 
 
-def live_previous(s: DataFrame, keys: Sequence[str], order: Order, values: dict[str, str], *, ttl: timedelta | None = None) -> DataFrame:
+def live_previous(s: DataFrame, keys: Sequence[str], order: Order, values: dict[str, str], *, ttl: timedelta | None = None, buckets: int = KEY_BUCKETS) -> DataFrame:
     """A stream's rows with the values that the row before held (batch twin: ``ordered.previous``), ``_seen`` and ``_late``.
 
     Rows of a key come in order from batch to batch, in any order inside one; a row behind its key's last row is late and gets no values. After ``ttl``
-    without a row a key's state ends, and its next row is a first one. A key with a null part is a key of its own.
+    without a row a key's state ends, and its next row is a first one. A key with a null part is a key of its own. ``buckets`` stays as it is while a
+    checkpoint is in use.
     """
-    rows, places = _sortable(s.select(_key(keys), "*"), order)
+    rows, places = _sortable(_dealt(s.select(_key(keys), "*"), buckets), order)
     named = {f"before{i}_": c for i, c in enumerate(values.values())}
     kinds = {n: rows.schema[c].dataType.simpleString() for n, c in named.items()}
-    state = ", ".join([_ddl(rows, places), *(f"{n} {kind}" for n, kind in kinds.items())]).replace("`", "")
-    out = ", ".join([_ddl(rows, rows.columns), *(f"{n} {kind}" for n, kind in kinds.items()), "seen_before boolean", "too_late boolean"])
-    held = PreviousRow(places, named, state, int(ttl.total_seconds() * 1000) if ttl else None)
-    found = rows.groupBy("of_key").transformWithStateInPandas(statefulProcessor=held, outputStructType=out, outputMode="Append", timeMode="ProcessingTime")
+    kept = ", ".join(f"{n} {kind}" for n, kind in kinds.items())
+    out = ", ".join([_ddl(rows, rows.columns), kept, "seen_before boolean", "too_late boolean"])
+    held = PreviousRow(places, _ddl(rows, places).replace("`", ""), named, kept, int(ttl.total_seconds() * 1000) if ttl else None)
+    found = rows.groupBy("bucket_").transformWithStateInPandas(statefulProcessor=held, outputStructType=out, outputMode="Append", timeMode="ProcessingTime")
     return found.select(*s.columns, *[F.col(n).alias(v) for n, v in zip(named, values, strict=True)], F.col("seen_before").alias("_seen"), F.col("too_late").alias("_late"))
 
 
@@ -145,6 +149,10 @@ def _key(keys: Sequence[str]) -> Column:
     return F.to_json(F.struct(*keys)).alias("of_key")
 
 
+def _dealt(rows: DataFrame, buckets: int) -> DataFrame:
+    return rows.withColumn("bucket_", F.pmod(F.xxhash64("of_key"), F.lit(buckets)).cast("int"))
+
+
 def live_decision_points(
     s: DataFrame, *, keys: Sequence[str], order: Order, p: float = 0.15, seed: int = 0, tool: str = "tool", candidates: str = "candidates", id_col: str = "id", ttl: timedelta | None = timedelta(days=30)
 ) -> DataFrame:
@@ -158,20 +166,21 @@ def live_decision_points(
 
 
 def live_user_priors(
-    s: DataFrame, *, trial: Sequence[str], order: Order, ts: str = "ts", watermark: str = "10 minutes", max_burst: float = C.MAX_BURST
+    s: DataFrame, *, trial: Sequence[str], order: Order, ts: str = "ts", watermark: str = "10 minutes", max_burst: float = C.MAX_BURST, buckets: int = KEY_BUCKETS
 ) -> DataFrame:
     """Totals of user priors so far, a row per trial whenever its rows fall behind the watermark (R5); read back with :func:`read_user_priors`.
 
     ``order`` begins with ``ts``. Rows may come in any order within the watermark; later ones are dropped and counted (:func:`dropped_rows`).
-    Start it inside ``keyed.keyed_state``.
+    Start it inside ``keyed.keyed_state``. ``buckets`` stays as it is while a checkpoint is in use.
     """
     if order.columns[0] != ts:
         raise ValueError("order: has to begin with the event time")
     rows, places = _sortable(s, order)
     numbers = [F.col("direction").cast("bigint").alias("direction"), F.col("stamp").cast("double").alias("stamp")]
     rows = rows.withWatermark(ts, watermark).select(_key(trial), ts, *places, "type", "command_mode", "axis", "active", "reason", *numbers)
+    rows = _dealt(rows, buckets)
     waiting = _ddl(rows, [*places, "type", "command_mode", "axis", "active", "reason", "direction", "stamp"]).replace("`", "")
-    found = rows.groupBy("of_key").transformWithStateInPandas(
+    found = rows.groupBy("bucket_").transformWithStateInPandas(
         statefulProcessor=Priors(places, waiting, max_burst), outputStructType=f"of_key string, {TOTALS}, rows long", outputMode="Append", timeMode="EventTime"
     )
     return found.withColumn("of_key", F.from_json("of_key", _ddl(s, trial))).select("of_key.*", *found.columns[1:])
