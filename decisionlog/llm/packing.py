@@ -63,6 +63,16 @@ class Tokenizer:
         return np.frombuffer(b"".join([get(c) or make(c) for c in _CHUNK.findall(text or "")]), np.int32)
 
 
+_made: list[tuple[dict[bytes, int], Tokenizer]] = []
+
+
+def tokenizer_of(ranks: dict[bytes, int]) -> Tokenizer:
+    """A worker's tokenizer of a vocabulary, kept from bucket to bucket and from task to task with the chunks that it knows."""
+    if not _made or _made[0][0] is not ranks:
+        _made[:] = [(ranks, Tokenizer(ranks))]
+    return _made[0][1]
+
+
 class Rooms:
     """A segment tree over room values 0..length: how many open sequences have that room."""
 
@@ -121,7 +131,7 @@ def cut(sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 def _packer(held, length: int, pad: int) -> Callable[[tuple, pa.Table], pa.Table]:
     def pack(key: tuple, rows: pa.Table) -> pa.Table:
-        tokenizer = Tokenizer(held.value)
+        tokenizer = tokenizer_of(held.value)
         rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])
         docs, ids = rows.column("doc_id").to_pylist(), []
         for chunk in rows.column("text").chunks:

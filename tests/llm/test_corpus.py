@@ -421,3 +421,11 @@ def test_long_words_leave_the_caches(spark):
     assert [pieces._Encoder(held, 2).encode_all([t])[0] for t in texts] == once and all(x[3] for x in once)
     tokenizer = packing.Tokenizer(packing.load_ranks())
     assert len(tokenizer.ids("z" * 500)) and not tokenizer.cache
+
+
+def test_buckets_of_a_worker_share_a_tokenizer():
+    ranks = {bytes([i]): i for i in range(256)}
+    first = packing.tokenizer_of(ranks)
+    assert first.ids("ab ab").tolist() == [97, 98, 32, 97, 98]
+    assert packing.tokenizer_of(ranks) is first and "ab" in first.cache
+    assert packing.tokenizer_of(dict(ranks)) is not first
