@@ -344,10 +344,13 @@ def state_hash(obs: str = "obs") -> Column:
     return F.sha2(F.to_json(state, {"ignoreNullFields": "false"}), 256)
 
 
-def dedup_states(df: DataFrame, order: Order, obs: str = "obs") -> DataFrame:
-    """The first row of each distinct state, with its ``state_hash``."""
+def dedup_states(df: DataFrame, order: Order, obs: str = "obs", columns: Sequence[str] | None = None) -> DataFrame:
+    """The first row of each distinct state, with its ``state_hash``.
+
+    ``columns``: what is wanted of that row; whole rows, with their scenes, go through the shuffle and the sort otherwise.
+    """
     rows = df.withColumn("state_hash", state_hash(obs))
-    return rows.groupBy("state_hash").agg(F.min_by(F.struct(*df.columns), order.key).alias("_row")).select("_row.*", "state_hash")
+    return rows.groupBy("state_hash").agg(F.min_by(F.struct(*(columns or df.columns)), order.key).alias("_row")).select("_row.*", "state_hash")
 
 
 def question_log(scored: DataFrame, keys: Sequence[str], order: Order, selector: str = "info_gain", seed: int = 0) -> DataFrame:

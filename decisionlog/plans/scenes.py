@@ -106,7 +106,7 @@ def symbol_coverage(t):
 def distinct_states(t):
     # held objects are no candidates, so a state tells held from free objects unless they are out of reach
     rows = V.scenes(t).withColumn("obs", F.col("obs").withField("objects", F.transform("obs.objects", lambda o: o.withField("id", F.concat(o["id"], F.when(o["is_held"], "h").otherwise(""))))))
-    return Q.dedup_states(rows.select("id", "obs"), BY_ID()).agg(F.count("*").alias("states"), checksum("id"))
+    return Q.dedup_states(rows.select("id", "obs"), BY_ID(), columns=["id"]).agg(F.count("*").alias("states"), checksum("id"))
 
 
 # ---- policies

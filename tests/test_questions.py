@@ -185,3 +185,11 @@ def test_dedup_and_log(spark):
     row = Q.question_log(one.withColumn("scenario_id", F.lit("s")), ["scenario_id"], by_number("id")).first()
     assert (row.tick, row.ig_bits, row.h_before_bits, row.k_candidates, row.interact_kind) == (0, 1.0, 1.0, 1, "QUESTION")
     assert row.candidates[0].per_reply == [[0.0, 0.5, 0.0], [1.0, 0.5, 0.0]]
+
+
+def test_first_states_with_wanted_columns_only(spark):
+    df = table(spark, [(["cup"], ["o0"], [], "?", []), (["cup"], ["o0"], [], "!", []), (["pot"], ["o0"], ["o0"], "?", [])])
+    whole = Q.dedup_states(df, by_number("id"))
+    only = Q.dedup_states(df, by_number("id"), columns=["id"])
+    assert only.columns == ["id", "state_hash"]
+    assert sorted(map(tuple, only.collect())) == sorted(map(tuple, whole.select("id", "state_hash").collect()))
