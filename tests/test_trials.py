@@ -13,7 +13,7 @@ from decisionlog.operators import reannotate as R
 from decisionlog.operators import trials as T
 from decisionlog.operators.ordered import by_number
 from decisionlog.operators.perturb import PROFILES, corrupt_commands, noise_grid
-from decisionlog.sources import tables, trials as src
+from decisionlog.sources import tables, trials as src, trialsource
 from decisionlog.sources.jsonl import read_scenarios, write_scenarios
 
 
@@ -378,3 +378,23 @@ def test_table_sources(spark, tmp_path):
     assert tables.context_table(long, ["x", "y"]).first().asDict() == {"model": "m", "x_acc": 0.75, "y_acc": 0.0, "x_n": 4, "y_n": 0}
     conf = spark.createDataFrame([("m", "A", "A", 2), ("m", "A", "INVALID_JSON", 1)], "model string, gt_tool string, pred_tool string, n bigint")
     assert tuple(tables.confusion_table(conf, ["A", "B"]).first()) == ("m", "A", 2, 0, 1, 0)
+
+
+def test_a_trial_folder_is_made_once(tmp_path, monkeypatch):
+    made = []
+
+    class Counting:
+        def create_dir(self, path):
+            made.append(path)
+            store.create_dir(path)
+
+        def open_output_stream(self, path, **how):
+            return store.open_output_stream(path, **how)
+
+    store, _ = trialsource.fs.FileSystem.from_uri(str(tmp_path))
+    monkeypatch.setattr(trialsource.fs, "FileSystem", type("FileSystem", (), {"from_uri": staticmethod(lambda uri: (Counting(), uri))}))
+    rows = [("manual", "s1", "easy", trial, kind, seq, f"{kind} {seq}") for trial in ("trial_1", "trial_2") for kind in ("call", "event", "summary") for seq in (1, 2)]
+    trialsource._Writer(str(tmp_path)).write(iter([trialsource._batch(rows[:5]), trialsource._batch(rows[5:])]))
+    folder = tmp_path / "manual" / "s1" / "easy"
+    assert made == [str(folder / t) for t in ("trial_1", "trial_2")]
+    assert (folder / "trial_1" / "gui_events.jsonl").read_text() == "event 1\nevent 2\n" and (folder / "trial_2" / "trial_summary.json").exists()
