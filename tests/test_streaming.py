@@ -136,3 +136,21 @@ def test_rates_drop_late_rows(spark, tmp_path):
     J.write_stream(J.command_rates(s), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     got = sorted((r.window_start.hour, r.commands) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == [(0, 1), (1, 1), (2, 1), (5, 1)]
+
+
+def test_state_is_read_by_bucket(spark, tmp_path):
+    rows = [(f"user {i % 50}", i, ["INTERACT", "GRAB"][i % 2], ["x"]) for i in range(400)]
+    df = spark.createDataFrame(rows, "ep string, id int, tool string, candidates array<string>")
+    s = J.live_previous(in_files(spark, tmp_path, df, "id"), ["ep"], by_number("id"), {"_tool": "tool"}, buckets=3)
+    out, query = run(spark, tmp_path, s.select("ep", "id", "_tool", "_late"), idle=False)
+    assert {r.id: r._tool for r in out.collect()} == {i: rows[i - 50][2] if i >= 50 else None for i in range(400)}
+    assert not out.filter("_late").count() and query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 3
+
+
+def test_rows_without_a_time_come_first(spark, tmp_path):
+    rows = [(k, s, "gripper", "x", "x", 1, True, "", float(s or 0)) for k in (1, 2) for s in (None, 5, 9, 40)]
+    df = spark.createDataFrame(rows, COMMANDS).withColumn("ts", F.timestamp_seconds("seq"))
+    order = by_time("ts", "seq", width_seconds=100)
+    s = J.live_user_priors(in_files(spark, tmp_path, df, "ts", 2), trial=["trial"], order=order, watermark="0 seconds", buckets=1)
+    out, _ = run(spark, tmp_path, s)
+    assert {r.trial: r.total_commands for r in J.read_user_priors(out, ["trial"]).collect()} == {1: 4, 2: 4}
