@@ -3,12 +3,14 @@
 import hashlib
 import math
 import random
+import time
 import zlib
 from collections import defaultdict
 
 import pytest
 
 from decisionlog.llm import centroids, merkle, queries, topk  # noqa: F401
+from decisionlog.llm.shared import stored
 
 SCHEMA = "vec_id long, embedding array<float>, cluster int, v string, row long"
 
@@ -175,3 +177,16 @@ def test_merkle_small(spark):
     assert row.leaf == row.subroot == row.root == row.folded_root and row.verified
     assert row.proof_sha256 == hashlib.sha256(b"").hexdigest()
     assert merkle.verify(one.limit(0), F.col("text")).count() == 0
+
+
+def test_stored_gives_up_its_shuffle_files(spark):
+    files = lambda: [f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles())]
+    before = {f for f in files() if f.startswith("shuffle_")}
+    rows = stored(spark.range(1000).repartition(7, "id"))
+    for _ in range(50):
+        left = {f for f in files() if f.startswith("shuffle_")} - before
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left and rows.count() == 1000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
