@@ -18,7 +18,7 @@ def draw(row_id: Column | str, salt: str, seed: int = 0) -> Column:
 
 def uniform(token: Column) -> Column:
     """A number in [0, 1) from a draw."""
-    return F.conv(F.substring(token, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    return F.conv(F.substring(token, 1, 8), 16, 10).cast("bigint").cast("double") / F.lit(4294967296.0)
 
 
 def bucket(token: Column) -> Column:

@@ -22,9 +22,15 @@ def literal_array(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+def _row(cell: Column) -> Column:
+    """The code of the upper-case row letter; only letters beyond ASCII need Unicode's case rules."""
+    code = F.ascii(cell)
+    return F.when(code < 97, code).when(code <= 122, code - 32).when(code < 128, code).otherwise(F.ascii(F.upper(cell)))
+
+
 def cell_distance(a: Column, b: Column) -> Column:
     """Grid steps between two cells (rows plus columns)."""
-    rows = F.abs(F.ascii(F.upper(a)) - F.ascii(F.upper(b)))
+    rows = F.abs(_row(a) - _row(b))
     cols = F.abs(F.substring(a, 2, 1).cast("int") - F.substring(b, 2, 1).cast("int"))
     return rows + cols
 

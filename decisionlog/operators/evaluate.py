@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from decisionlog.functions.bind import let, once
 from decisionlog.functions.jsontext import strict_json
 from decisionlog.functions.text import ratio
-from decisionlog.operators.perturb import NOISE_LEVELS, at_levels
+from decisionlog.operators.perturb import NOISE_LEVELS, perturb_at_levels
 from decisionlog.operators.toolcalls import call_violations, describe_call, describe_typed, same_call
 from decisionlog.operators.triage import first_values
 from decisionlog.schemas import ALL_TOOLS, MAX_CHOICES, MOTION_TOOLS
@@ -250,8 +250,11 @@ def robustness_curve(
     """
     usable = df.filter(F.col("obs").isNotNull() & F.col("gt_call").isNotNull())
     # the truth is the same at all levels
-    noisy = perturb(at_levels(_described(usable, "gt_call").drop("gt_call"), levels), F.col("noise_level"), seed)
-    totals = count_scores(_score_described(policy(noisy), "pred"), [*keys, "noise_level"])
+    noisy = perturb_at_levels(_described(usable, "gt_call").drop("gt_call"), perturb, levels, seed)
+    # each distinct pair of truth and answer is scored once, its counters times its rows
+    pairs = policy(noisy).groupBy(*keys, "noise_level", "_gt", "pred").agg(F.count("*").alias("_times"))
+    scored = _score_described(pairs, "pred").withColumns({c: F.col(c) * F.col("_times") for c in COUNTERS})
+    totals = count_scores(scored, [*keys, "noise_level"])
     percent = lambda a, b: F.round(ratio(F.col(a), F.col(b)) * 100, 2)
     return totals.select(
         *keys,

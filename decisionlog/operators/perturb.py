@@ -50,16 +50,22 @@ def _token(row_id: Column, salt: str, seed: int, index: Column) -> Column:
     return draw(F.concat_ws("#", row_id, index.cast("string")), salt, seed)
 
 
+def _drawn(near: Column, token: Column) -> Column:
+    return let(near, lambda n: F.get(n, pick(token, F.greatest(F.size(n), F.lit(1)))))
+
+
 def _moved(value: Column, near: Column, token: Column, p: Probability) -> Column:
-    drawn = let(near, lambda n: F.get(n, pick(token, F.greatest(F.size(n), F.lit(1)))))
-    return F.when(_hit(token, p), drawn).otherwise(value)
+    return F.when(_hit(token, p), _drawn(near, token)).otherwise(value)
 
 
 def near_candidates(objects: Column, cell: Column, radius: int | Column = 1) -> Column:
     """Ids of objects not held and within ``radius`` grid steps of ``cell`` (J5, in-row form)."""
     limit = F.lit(radius) if isinstance(radius, int) else radius
-    near = F.filter(objects, lambda o: ~F.coalesce(o["is_held"], F.lit(False)) & (cell_distance(cell, o["cell"]) <= limit))
-    return F.transform(near, lambda o: o["id"])
+
+    def near(here: Column) -> Column:
+        return F.filter(objects, lambda o: ~F.coalesce(o["is_held"], F.lit(False)) & (cell_distance(here, o["cell"]) <= limit))
+
+    return F.transform(let(cell, near), lambda o: o["id"])  # the cell is looked up once, not per object
 
 
 def _current_cell(history: Column) -> Column:
@@ -86,8 +92,59 @@ def _jittered(history: Column, row_id: Column, p: Probability, seed: int, *, yaw
     return F.transform(history, pose)
 
 
-def perturb_user_input(df: DataFrame, p: Probability, seed: int = 0, *, obs: str = "obs", id_col: str = "id", radius: int = 1) -> DataFrame:
-    """Noisy control signal: each pose moves to a neighbouring cell and an adjacent yaw bin with ``p``."""
+def user_input_moves(
+    df: DataFrame, seed: int = 0, name: str = "_moves", *, most: float = 1.0, obs: str = "obs", id_col: str = "id", radius: int = 1
+) -> DataFrame:
+    """``df`` with what :func:`perturb_user_input` may do at rates up to ``most``: a draw serves every rate, so one is made per pose, not per pose and rate.
+
+    ``poses`` has, per pose, the draws (``cell_u``, ``yaw_u``; ``low`` is the lesser) and what the pose moves to, ``low`` the least of them all, ``near`` and
+    ``near_to`` the candidates at the last pose as it is and as it moves.
+    """
+    history, row_id = F.col(f"{obs}.gripper_hist"), F.col(id_col)
+    kinds = (("cell", "pose-cell", cell_neighbours), ("yaw", "pose-yaw", yaw_neighbours))
+    tokens = F.transform(history, lambda h, i: F.struct(*[_token(row_id, salt, seed, i).alias(f) for f, salt, _ in kinds]))
+    rows = once(df, {"_tokens": tokens})
+    rows = once(rows, {"_us": F.transform("_tokens", lambda x: F.struct(*[uniform(x[f]).alias(f) for f, _, _ in kinds]))})
+
+    def pose(u: Column, i: Column) -> Column:
+        h, token = F.get(history, i), F.get("_tokens", i)
+        to = [F.when(u[f] < most, _drawn(near(h[f]), token[f])).alias(f"{f}_to") for f, _, near in kinds]
+        return F.struct(F.least(u["cell"], u["yaw"]).alias("low"), u["cell"].alias("cell_u"), u["yaw"].alias("yaw_u"), *to)
+
+    rows = once(rows, {name: F.transform("_us", pose)}).drop("_tokens", "_us")
+    poses, objects = F.col(name), F.col(f"{obs}.objects")
+    last = F.get(poses, F.size(poses) - 1)
+    moved = F.when(last["cell_u"] < most, near_candidates(objects, F.coalesce(last["cell_to"], F.lit("B2")), radius))
+    low = F.array_min(F.transform(poses, lambda m: m["low"]))
+    here = near_candidates(objects, _current_cell(F.col(f"{obs}.gripper_hist")), radius)
+    return once(rows, {name: F.struct(poses.alias("poses"), low.alias("low"), last["cell_u"].alias("last_u"), here.alias("near"), moved.alias("near_to"))})
+
+
+def _at_rate(df: DataFrame, rate: Column, obs: str, moves: str) -> DataFrame:
+    """:func:`perturb_user_input` from its moves. Draws are 0 at least, so none is below a rate of 0."""
+    o, m = F.col(obs), F.col(moves)
+
+    def pose(h: Column, x: Column) -> Column:
+        now = h
+        for f in ("cell", "yaw"):
+            now = now.withField(f, F.when(x[f"{f}_u"] < rate, x[f"{f}_to"]).otherwise(h[f]))
+        return F.when(x["low"] < rate, now).otherwise(h)
+
+    history = F.when(m["low"] < rate, F.zip_with(o["gripper_hist"], m["poses"], pose)).otherwise(o["gripper_hist"])
+    near = F.when(m["last_u"] < rate, m["near_to"]).otherwise(m["near"])
+    changed = o.withField("gripper_hist", history).withField("memory", o["memory"].withField("candidates", near))
+    return once(df, {obs: changed}).select(*[c for c in df.columns if c != moves])
+
+
+def perturb_user_input(
+    df: DataFrame, p: Probability, seed: int = 0, *, obs: str = "obs", id_col: str = "id", radius: int = 1, moves: str | None = None
+) -> DataFrame:
+    """Noisy control signal: each pose moves to a neighbouring cell and an adjacent yaw bin with ``p``.
+
+    ``moves`` names a column of :func:`user_input_moves` (same seed and radius), made before a row is taken at several rates; the result is without it.
+    """
+    if moves is not None:
+        return _at_rate(df, p if isinstance(p, Column) else F.lit(float(p)), obs, moves)
     change = lambda o: o.withField("gripper_hist", _jittered(o["gripper_hist"], F.col(id_col), p, seed, yaw=True))
     return _changed(df, obs, change, radius)
 
@@ -139,6 +196,19 @@ PERTURBATIONS: Mapping[str, Callable[..., DataFrame]] = {
     "label_noise": perturb_labels,
 }
 
+#: Perturbations whose draws can be made ahead, and how.
+MOVES: Mapping[Callable[..., DataFrame], Callable[..., DataFrame]] = {perturb_user_input: user_input_moves}
+
+
+def perturb_at_levels(
+    df: DataFrame, perturb: Callable[..., DataFrame], levels: Sequence[float] = NOISE_LEVELS, seed: int = 0, name: str = "noise_level"
+) -> DataFrame:
+    """Every row once per noise level, perturbed at that level (G12); draws do not depend on the level and are made once per row where possible."""
+    if perturb not in MOVES:
+        return perturb(at_levels(df, levels, name), F.col(name), seed)
+    drawn = MOVES[perturb](df, seed, "_moves", most=max(levels, default=0.0))
+    return perturb(at_levels(drawn, levels, name), F.col(name), seed, moves="_moves")
+
 
 def corrupt_commands(df: DataFrame, noise: Noise, seed: int = 0, *, id_col: str = "event_id") -> DataFrame:
     """A recorded command and reply log under noise (G11); works on streams as well.

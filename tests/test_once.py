@@ -85,3 +85,12 @@ def test_trials_meet_their_layouts_in_one_join(spark):
     while node.nodeName() != "Join":
         node = node.children().apply(0)
     assert "Join" not in node.children().apply(0).toString()
+
+
+def test_draws_are_made_before_the_levels_and_pairs_scored_once(spark, tmp_path):
+    truth = B.ask_if_ambiguous(V.scenes(_tables(spark, tmp_path))).withColumnRenamed("pred", "gt_call")
+    plan = _plan(E.robustness_curve(truth, N.perturb_user_input, B.ask_if_ambiguous, keys=["status"])).toString().splitlines()
+    at = lambda text: [i for i, x in enumerate(plan) if text in x]
+    levels, pairs = at("explode([0.0"), at("count(1) AS _times")
+    assert len(levels) == 1 and at("md5(") and min(at("md5(")) > levels[0]
+    assert pairs and max(at("INVALID_JSON")) < min(pairs) < levels[0]

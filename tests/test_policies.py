@@ -8,9 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from decisionlog import schemas as S
-from decisionlog.functions.geometry import CELLS
+from decisionlog.functions.geometry import CELLS, cell_distance
 from decisionlog.operators.evaluate import accuracy_report, robustness_curve, score_typed
-from decisionlog.operators.perturb import PERTURBATIONS
+from decisionlog.operators.perturb import PERTURBATIONS, perturb_at_levels, perturb_user_input
 from decisionlog.operators.policies import POLICIES, candidate_labels, motion_prior
 
 LABELS = ["mug", "box", "can", "", "mug"]
@@ -132,3 +132,29 @@ def test_policy_scores_itself(table):
     assert (curve[0].tool_acc, curve[0].strict_match) == (100.0, 100.0) and curve[1].strict_match < 80
     report = accuracy_report(score_typed(POLICIES["heuristic_always_ask"](truth))).first()
     assert report.json_valid_rate == 1.0 and report.motion_n > 0 and report.motion_obj_accuracy == 0.0
+
+
+def test_draws_made_ahead_move_the_same_poses(spark):
+    """Levels from one draw per pose give what a perturbation at each rate gives, on odd cells, poses and objects too."""
+    hists = [[("A1", "N", "LOW"), ("c3", "w", None)], [], None, [("B2", None, "LOW"), (None, "E", "LOW")], [("Z9", "up", "LOW")], [("B2", "N", "LOW"), None], [("", "N", "LOW")]]
+    things = [[("obj_0", "mug", "B2", False), ("obj_1", "box", "a1", None), ("obj_2", "box", "C3", True), ("obj_3", "box", "c2", False)], []]
+    rows = [(None if i == 41 else f"r{i}", (None if i % 13 == 5 else things[0 if i % 5 else 1] if h != [("", "N", "LOW")] else [], h, (["obj_9"], []) if i % 7 else None), i) for i, h in enumerate(hists * 12)]
+    shape = "id string, obs struct<objects: array<struct<id: string, label: string, cell: string, is_held: boolean>>, gripper_hist: array<struct<cell: string, yaw: string, z: string>>, memory: struct<candidates: array<string>, excluded_obj_ids: array<string>>>, k int"
+    df = spark.createDataFrame([*rows, ("none", None, 999)], shape)
+    levels = (0.0, 0.1, 0.5, 1.0)
+    got = perturb_at_levels(df, perturb_user_input, levels, 3)
+    assert got.columns == ["id", "obs", "k", "noise_level"] and got.schema["obs"].dataType == df.schema["obs"].dataType
+    listed = lambda d: {r.k: (r.id, r.obs) for r in d.collect()}
+    moved = set()
+    for p in levels:
+        want = listed(perturb_user_input(df, p, 3))
+        assert listed(got.filter(F.col("noise_level") == p)) == want and len(want) == len(rows) + 1
+        moved.add(str(sorted(want.items())))
+    assert len(moved) == 4
+
+
+def test_distance_of_cells_in_either_case(spark):
+    cells = ["A1", "a1", "C3", "c2", "b1", "é2", "É2", "ß1", None]
+    df = spark.createDataFrame([(a, b) for a in cells for b in cells], "a string, b string")
+    old = F.abs(F.ascii(F.upper("a")) - F.ascii(F.upper("b"))) + F.abs(F.substring("a", 2, 1).cast("int") - F.substring("b", 2, 1).cast("int"))
+    assert df.filter(~cell_distance(F.col("a"), F.col("b")).eqNullSafe(old)).count() == 0
