@@ -1,5 +1,6 @@
 import json
 import math
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -398,3 +399,42 @@ def test_a_trial_folder_is_made_once(tmp_path, monkeypatch):
     folder = tmp_path / "manual" / "s1" / "easy"
     assert made == [str(folder / t) for t in ("trial_1", "trial_2")]
     assert (folder / "trial_1" / "gui_events.jsonl").read_text() == "event 1\nevent 2\n" and (folder / "trial_2" / "trial_summary.json").exists()
+
+
+def test_trial_folders_are_there_for_some_trials_at_a_time(spark, tmp_path, monkeypatch):
+    """Parts hold each trial once and whole, nothing of a part is left after it, and the rows are those of one part."""
+    from decisionlog.plans import storage, views
+
+    spark.createDataFrame([(c, c % 3) for c in range(40)], "c_custkey long, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(o, o % 40, "F") for o in range(200)], "o_orderkey long, o_custkey long, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
+    lines = [(o, n, o + n, o * n, "R" if n == 1 else "N") for o in range(200) for n in range(o % 4)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    t = views.Tables(spark, str(tmp_path))
+    roots, most, write, drop = [], [], src.write_trials, src.drop_trials
+
+    def written(records, root):
+        write(records, root)
+        roots.append(root)
+        most.append(sum(name.startswith("trial_") for r in roots for _, names, _ in os.walk(r) for name in names))
+
+    monkeypatch.setattr(src, "write_trials", written)
+    whole = _listed(storage.trial_round_trip(t))
+    monkeypatch.setattr(src, "TRIALS_AT_ONCE", 10)
+    assert _listed(storage.trial_round_trip(t)) == whole and len(whole) == 36
+    assert most[0] == 40 and len(most) == 5 and sum(most[1:]) == 40 and max(most[1:]) < 20
+    assert not any(os.path.exists(r) for r in roots)
+    drop(spark, roots[0])  # once more: nothing to remove
+
+
+def test_long_files_and_long_lines_pass_whole(tmp_path, monkeypatch):
+    """Texts beyond the sizes that are written and read at once come back as they were."""
+    monkeypatch.setattr(trialsource, "_WRITE_CHARS", 10)
+    texts = ["a" * 25, "é" * 7, "", "b", "c" * 9]
+    rows = [("manual", "s1", "easy", "trial_1", "call", n, x) for n, x in enumerate(texts)] + [("manual", "s1", "easy", "trial_1", "summary", 1, "{}")]
+    trialsource._Writer(str(tmp_path)).write(iter([trialsource._batch(rows[:2]), trialsource._batch(rows[2:])]))
+    for size in (4 << 20, 5):
+        monkeypatch.setattr(trialsource, "_READ_BYTES", size)
+        reader = trialsource._Reader(str(tmp_path), 2, 2)
+        got = [tuple(r.values()) for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+        calls = [(r[5], r[6]) for r in got if r[4] == "call"]
+        assert calls == [(n, x) for n, x in enumerate(texts, 1) if x] and [r[6] for r in got if r[4] == "summary"] == ["{}\n"]
